@@ -87,6 +87,15 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
 
+def _shingles(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column("shingles")]
+            ids = np.repeat(part.column("id").to_numpy(), [len(v) for v in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "s"])
+
+
 def _links(threshold: int):
     def check(batches):
         for batch in batches:
@@ -125,7 +134,7 @@ def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
     Texts of equal sets are one class, known by a representative. Representatives' 16-bit minhash signatures are split
     into chunks; a key is a chunk without ERRORS of its positions, so that equal keys mean at most as many errors. Each
     bucket's members are first verified against its best connected member only; then, in buckets that still hold
-    several components, against the members of other components. So a group of thousands of copies costs a star, and no
+    several components, against those members of other components that the shingles it has alone don't rule out. So a group of thousands of copies costs a star, and no
     pair of different components goes unchecked.
     """
     docs = documents.select("doc_id", "text")
@@ -153,8 +162,14 @@ def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
     placed = member.join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
     open_ = placed.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("key")
     rest = X.table(placed.join(open_, "key").join(facts.select("id", "n"), "id"), "open")
-    other = rest.select("key", F.col("id").alias("j"), F.col("g").alias("h"), F.col("n").alias("m"))
-    cross = rest.join(other, (rest.key == other.key) & (rest.id < other.j) & (rest.g != other.h) & (100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    # a shingle that no other document of an open bucket has is in no intersection: it bounds each pair's similarity
+    alone = sets.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_shingles, "id long, s long")
+    alone = alone.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    rest = rest.join(alone, "id", "left").withColumn("n_shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    rest = X.table(rest.where(100 * F.col("n_shared") >= threshold * F.col("n")), "bounded")
+    other = rest.select("key", F.col("id").alias("j"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("n_shared").alias("m_shared"))
+    most = F.least("n_shared", "m_shared")
+    cross = rest.join(other, (rest.key == other.key) & (rest.id < other.j) & (rest.g != other.h) & (100 * most >= threshold * (F.col("n") + F.col("m") - most)))
     cross = cross.select(F.col("id").alias("a"), F.col("j").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = X.table(verified(near(cross), sets, threshold), "cross")
     final = X.table(components(edges.unionAll(more)), "components")

@@ -1,8 +1,15 @@
 """The corpus queries by name, and their SQL where DuckDB can express them."""
 
-from . import near_dedup
+from . import decontaminate, language, near_dedup, packing, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_harmonic_packing": packing.op1,
+    "op2_language_bloom": language.op2,
     "op5_minhash_near_dedup": near_dedup.op5,
+    "op6_markov_secrets": secret_scan.op6,
+    "op7_relative_lz_dedup": substring_dedup.op7,
+    "op8_token_counts": token_counts.op8,
+    "op9_simhash_decontamination": decontaminate.op9,
+    "op10_pu_toxicity": toxicity.op10,
 }
 ORACLES: dict[str, str] = {}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 SLAB_BYTES = 2 << 20
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
+_NO_LETTER = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
 _RAW = np.random.Generator(np.random.PCG64(20240917)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _LOW = _RAW.copy()
 _LOW[65:91] = _RAW[97:123]
@@ -69,13 +70,15 @@ def slabs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def words(at: np.ndarray, data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slab: (hash of each word, index of each row's first word with the end appended, word starts, word ends)."""
+def words(at: np.ndarray, data: np.ndarray, lower: bool, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slab: (hash of each word, index of each row's first word with the end appended, word starts, word ends).
+
+    With letters, all ASCII but letters separates words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none
-    solid = ~_WS[data]
+    solid = ~(_NO_LETTER if letters else _WS)[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     firsts = at[:-1][at[:-1] < n]
