@@ -1,10 +1,11 @@
 """The corpus queries by name, and their SQL where DuckDB can express them."""
 
-from . import decontaminate, language, near_dedup, packing, secret_scan, substring_dedup, token_counts, toxicity
+from . import decontaminate, language, near_dedup, neighbours, packing, secret_scan, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_harmonic_packing": packing.op1,
     "op2_language_bloom": language.op2,
+    "op4_pruned_graph_search": neighbours.op4,
     "op5_minhash_near_dedup": near_dedup.op5,
     "op6_markov_secrets": secret_scan.op6,
     "op7_relative_lz_dedup": substring_dedup.op7,
