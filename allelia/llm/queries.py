@@ -1,10 +1,11 @@
 """The corpus queries by name, and their SQL where DuckDB can express them."""
 
-from . import decontaminate, language, near_dedup, neighbours, packing, secret_scan, substring_dedup, token_counts, toxicity
+from . import decontaminate, language, near_dedup, neighbours, packing, secret_scan, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_harmonic_packing": packing.op1,
     "op2_language_bloom": language.op2,
+    "op3_warc_chain": warc.op3,
     "op4_pruned_graph_search": neighbours.op4,
     "op5_minhash_near_dedup": near_dedup.op5,
     "op6_markov_secrets": secret_scan.op6,
@@ -13,4 +14,6 @@ QUERIES = {
     "op9_simhash_decontamination": decontaminate.op9,
     "op10_pu_toxicity": toxicity.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_chain": warc.OP3_SQL,
+}

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLAB_BYTES = 2 << 20
 _WS = np.zeros(256, bool)
@@ -170,11 +171,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: the lineage is cut and lost executors lose nothing."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: the lineage is cut and lost executors lose nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 200_000
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id isn't in ids(doc_id); null ids stay. Texts are shuffled only for more than
+    BROADCAST_IDS ids."""
+    ids = table(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(documents.columns)

@@ -180,6 +180,18 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(make, "doc_id long, score double, predicted int")
 
 
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of documents, whole, that score below 0.5."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def make(batches):
+        for batch in batches:
+            good = [held.value.scores(at, data) < 0.5 for _, _, at, data in X.slabs(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return documents.mapInArrow(make, documents.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 

@@ -4,17 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelia.llm import text
-from allelia.llm.near_dedup import near_groups
+from allelia.llm import decontaminate, near_dedup, packing, secret_scan, text, toxicity
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    kept = near_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled model rejects go; it learns from labels of the rows that op10 learns from."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity.held_out())
+    return toxicity.without_toxic(docs, model)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest doc_id. Null ids stay."""
+    return text.without(docs, near_dedup.near_groups(docs).where("NOT kept"))
+
+
+def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go. Null ids stay."""
+    return text.without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; their secrets are replaced by a mark, and n_chars follows the text."""
+    return secret_scan.redact(docs, secret_scan.train(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of each document in the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near_dedup", near_duplicates_out),
+    ("decontamination", leaks_out),
+    ("secret_scan", secrets_out),
+    ("packing", packed),
+]
+#: No SQL: a learned model, connected components and tokenizer ids.
 ORACLE_SQL = None
 
 
