@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -18,6 +18,8 @@ from .graph import components
 POSITIONS, CHUNKS, ERRORS = 40, 8, 1
 #: Pairs with more unequal positions than this aren't verified (probability 1e-6 at a similarity of 0.85).
 FAR = 20
+#: Documents that may hold a shingle for it to count as rare.
+RARE = 8
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,6 +98,36 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "s"])
 
 
+def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from members rest(key, id, g, n) of open buckets.
+
+    Shingles are ordered by how many of these documents hold them. A linked pair whose first shingle in common is in at
+    most RARE documents has it in both documents' first n - ceil(t n) + 1, so a join on such shingles finds it, with RARE
+    partners each. Any other linked pair has only frequent shingles in common, which bounds its similarity by how many
+    of these either has: a document that the bound leaves without a partner takes no part, the rest meet by bucket key.
+    """
+    size_ok = lambda n, m: 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+    docs = rest.select("id", "g", "n").distinct()
+    held = X.table(sets.join(docs.select("id"), "id", "left_semi").mapInArrow(_shingles, "id long, s long"), "shingles")
+    often = held.groupBy("s").agg(F.count("*").alias("f"))
+    held = held.join(often, "s")
+    many = held.groupBy("id").agg(F.sum(F.when(F.col("f") > 1, 1).otherwise(0)).alias("n_shared"), F.sum(F.when(F.col("f") > RARE, 1).otherwise(0)).alias("c"))
+    docs = X.table(docs.join(many, "id").where(100 * F.col("n_shared") >= threshold * F.col("n")), "bounded")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
+    first = held.join(docs.select("id", "g", "n"), "id").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1) & F.col("f").between(2, RARE))
+    first = X.table(first.select("s", "id", "g", "n"), "rare")
+    other = first.select("s", F.col("id").alias("b"), F.col("g").alias("h"), F.col("n").alias("m"))
+    rare = first.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("g") != F.col("h")) & size_ok(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b")
+    left = rest.select("key", "id").join(docs, "id")
+    least = left.groupBy("key").agg(F.min("n").alias("m0"))
+    left = left.join(least, "key").where(100 * F.col("c") >= threshold * (F.col("n") + F.greatest("m0", "c") - F.col("c")))
+    left = X.table(left.select("key", "id", "g", "n", "c"), "frequent")
+    right = left.select("key", F.col("id").alias("b"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("c").alias("d"))
+    most = F.least("c", "d")
+    by_key = left.join(right, (left.key == right.key) & (left.id < right.b) & (left.g != right.h) & (100 * most >= threshold * (F.col("n") + F.col("m") - most)))
+    return rare.unionAll(by_key.select(F.col("id").alias("a"), "b"))
+
+
 def _links(threshold: int):
     def check(batches):
         for batch in batches:
@@ -134,7 +166,8 @@ def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
     Texts of equal sets are one class, known by a representative. Representatives' 16-bit minhash signatures are split
     into chunks; a key is a chunk without ERRORS of its positions, so that equal keys mean at most as many errors. Each
     bucket's members are first verified against its best connected member only; then, in buckets that still hold
-    several components, against those members of other components that the shingles it has alone don't rule out. So a group of thousands of copies costs a star, and no
+    several components, against those members of other components that rare shingles or counts of the frequent ones leave
+    open. So a group of thousands of copies costs a star, and no
     pair of different components goes unchecked.
     """
     docs = documents.select("doc_id", "text")
@@ -146,7 +179,7 @@ def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
     shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "c")
     member = X.table(member.join(shared, "key"), "members")
     facts = X.table(reps.join(member.select("id").distinct(), reps.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "facts")
-    texts = docs.join(facts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = X.only(docs, facts.select(F.col("id").alias("doc_id")))
     sets = X.table(texts.mapInArrow(_sets, "id long, shingles binary"), "sets")
     support = member.groupBy("id").agg(F.sum("c").alias("s"))
     lead = member.join(support, "id").groupBy("key").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("lead"))
@@ -162,15 +195,8 @@ def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
     placed = member.join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
     open_ = placed.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("key")
     rest = X.table(placed.join(open_, "key").join(facts.select("id", "n"), "id"), "open")
-    # a shingle that no other document of an open bucket has is in no intersection: it bounds each pair's similarity
-    alone = sets.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_shingles, "id long, s long")
-    alone = alone.groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    rest = rest.join(alone, "id", "left").withColumn("n_shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    rest = X.table(rest.where(100 * F.col("n_shared") >= threshold * F.col("n")), "bounded")
-    other = rest.select("key", F.col("id").alias("j"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("n_shared").alias("m_shared"))
-    most = F.least("n_shared", "m_shared")
-    cross = rest.join(other, (rest.key == other.key) & (rest.id < other.j) & (rest.g != other.h) & (100 * most >= threshold * (F.col("n") + F.col("m") - most)))
-    cross = cross.select(F.col("id").alias("a"), F.col("j").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = _rare_pairs(rest, sets, threshold)
+    cross = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = X.table(verified(near(cross), sets, threshold), "cross")
     final = X.table(components(edges.unionAll(more)), "components")
     named = classes.join(final, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("c"))

@@ -190,6 +190,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 200_000
 
 
+def only(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id is in ids(doc_id). Texts are shuffled only for more than BROADCAST_IDS ids."""
+    few = ids.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(documents.columns)
+
+
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of documents whose doc_id isn't in ids(doc_id); null ids stay. Texts are shuffled only for more than
     BROADCAST_IDS ids."""
