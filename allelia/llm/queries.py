@@ -16,4 +16,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_warc_chain": warc.OP3_SQL,
+    "op5_minhash_near_dedup": near_dedup.OP5_SQL,
+    "op7_relative_lz_dedup": substring_dedup.OP7_SQL,
 }

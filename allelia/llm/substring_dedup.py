@@ -208,3 +208,16 @@ def _kept(batches):
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return factored(documents, _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: The same rows from every window of the corpus.
+OP7_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 18)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, ROW_NUMBER() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM v) WHERE r > 1),
+c AS (SELECT DISTINCT doc_id, UNNEST(range(i, i + 20)) AS i FROM d),
+x AS (SELECT doc_id, UNNEST(range(1, len(w) + 1)) AS i, UNNEST(w) AS word FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (doc_id, i) GROUP BY 1),
+g AS (SELECT doc_id, COUNT(*) AS n FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(g.n, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
