@@ -15,4 +15,5 @@ def running_counter(calls: DataFrame) -> DataFrame:
 
 def windowed_events(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of events(ts, event_type, value) by tumbling window and type, late rows up to a watermark."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
