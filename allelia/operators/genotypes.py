@@ -85,3 +85,12 @@ def annotation(info: Column) -> Column:
 
 def chop_chr(chrom: Column) -> Column:
     return F.regexp_replace(chrom, "^chr", "")
+
+
+def align_to_reference(sites: DataFrame, reference: DataFrame) -> DataFrame:
+    """sites(a1, a2) against reference(chrom, pos, base): same, switched, flipped strand, both, or unmatched."""
+    other = lambda c: F.translate(F.upper(c), "ACGT", "TGCA")
+    out = sites.join(reference, ["chrom", "pos"], "left")
+    b = F.upper("base")
+    how = F.when(F.upper("a1") == b, "same").when(F.upper("a2") == b, "switch").when(other("a1") == b, "flip").when(other("a2") == b, "flip_switch").otherwise("unmatched")
+    return out.withColumn("alignment", how)

@@ -70,3 +70,20 @@ def covariate_check(rows: DataFrame, y: str, covariates: list[str]) -> DataFrame
 def unique_only(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs once: all copies of a repeated sample go."""
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("times")).where("times = 1").select(key), key, "left_semi")
+
+
+def match(genotyped: DataFrame, samples: DataFrame, impute: str | None = None) -> DataFrame:
+    """Genotyped ids joined with their sample rows: an inner join, or with impute a left join whose null trait becomes
+    the mean of the others."""
+    ids = genotyped.select("sample_id").distinct()
+    if impute is None:
+        return ids.join(samples, "sample_id")
+    return impute_column(ids.join(samples, "sample_id", "left"), impute)
+
+
+def markers_as_covariates(samples: DataFrame, calls: DataFrame, markers: list[int]) -> DataFrame:
+    """samples with one column m<id> per listed variant: its genotype, absent pairs 0, missing null."""
+    rows = calls.where(F.col("variant_id").isin(markers)).withColumn("g", F.coalesce("g", F.lit(-9)))
+    table = rows.groupBy("sample_id").pivot("variant_id", markers).agg(F.first("g"))
+    out = samples.join(table, "sample_id", "left")
+    return out.select(*samples.columns, *[F.nullif(F.coalesce(F.col(str(m)), F.lit(0)), F.lit(-9)).alias(f"m{m}") for m in markers])

@@ -715,3 +715,49 @@ def windowed_events(spark, sf_dir):
 
     out = windows(V.read(spark, sf_dir, "events"), "6 hours")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# ---- joins of samples and sites, recoded scores -----------------------------------------------------------------------
+
+
+@query("match_samples", " SELECT DISTINCT sample_id, y, trait, sex FROM samples JOIN (SELECT DISTINCT sample_id FROM calls) c USING (sample_id) WHERE sample_id % 9 <> 0")
+def match_samples(spark, sf_dir):
+    return P.match(V.calls(spark, sf_dir), V.samples(spark, sf_dir).where("sample_id % 9 <> 0")).select("sample_id", "y", "trait", "sex")
+
+
+@query("match_and_impute", """, x AS (SELECT c.sample_id, s.y FROM (SELECT DISTINCT sample_id FROM calls) c LEFT JOIN (SELECT * FROM samples WHERE sample_id % 9 <> 0) s USING (sample_id))
+SELECT sample_id, ROUND(COALESCE(CAST(y AS DOUBLE), (SELECT AVG(y) FROM x)), 4) AS y FROM x""")
+def match_and_impute(spark, sf_dir):
+    return P.match(V.calls(spark, sf_dir), V.samples(spark, sf_dir).where("sample_id % 9 <> 0"), "y").select("sample_id", F.round("y", 4).alias("y"))
+
+
+@query("marker_covariates", """, a AS (SELECT sample_id, MAX(CASE WHEN variant_id = 4 THEN COALESCE(g, -9) END) AS a, MAX(CASE WHEN variant_id = 9 THEN COALESCE(g, -9) END) AS b FROM calls GROUP BY 1)
+SELECT sample_id, y, NULLIF(COALESCE(a, 0), -9) AS m4, NULLIF(COALESCE(b, 0), -9) AS m9 FROM samples LEFT JOIN a USING (sample_id)""")
+def marker_covariates(spark, sf_dir):
+    return P.markers_as_covariates(V.samples(spark, sf_dir).select("sample_id", "y"), V.calls(spark, sf_dir), [4, 9])
+
+
+@query("align_reference", """, r AS (SELECT chrom, pos, substr('ACGT', variant_id % 3 + 1, 1) AS base FROM variants WHERE variant_id % 11 <> 0)
+SELECT variant_id, CASE WHEN ref = base THEN 'same' WHEN alt = base THEN 'switch' WHEN translate(ref, 'ACGT', 'TGCA') = base THEN 'flip' WHEN translate(alt, 'ACGT', 'TGCA') = base THEN 'flip_switch' ELSE 'unmatched' END AS alignment
+FROM variants LEFT JOIN r USING (chrom, pos)""")
+def align_reference(spark, sf_dir):
+    v = V.variants(spark, sf_dir)
+    base = v.where("variant_id % 11 <> 0").select("chrom", "pos", F.expr("substr('ACGT', int(variant_id % 3 + 1), 1)").alias("base"))
+    return G.align_to_reference(v.select("variant_id", "chrom", "pos", F.col("ref").alias("a1"), F.col("alt").alias("a2")), base).select("variant_id", "alignment")
+
+
+def _coded(k):
+    return f", x AS (SELECT variant_id AS k, sample_id, CASE WHEN g >= {k} THEN 1 WHEN g IS NOT NULL THEN 0 END AS g FROM calls)"
+
+
+def _coded_score(least):
+    def run(spark, sf_dir):
+        samples = V.samples(spark, sf_dir)
+        coded = V.calls(spark, sf_dir).withColumn("g", G.dominant(F.col("g")) if least == 1 else G.recessive(F.col("g")))
+        return A.score(A.group_sums(coded, samples), *A.trait_sums(samples))
+
+    return run
+
+
+query("dominant_score", _coded(1) + SUMS + SCORE.format(k="variant_id"))(_coded_score(1))
+query("recessive_score", _coded(2) + SUMS + SCORE.format(k="variant_id"))(_coded_score(2))

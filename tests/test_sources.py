@@ -95,3 +95,57 @@ def test_streams(spark, sf_dir, tmp_path):
     run = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.sql("SELECT SUM(n) AS n FROM windowed").first().n == events.count()
+
+
+def _bgen(tmp_path, name, compression, bits, layout=2):
+    import struct
+    import zlib
+
+    import zstandard
+
+    rng = np.random.default_rng(bits)
+    n, m = 5, 4
+    want, body = [], b""
+    for v in range(m):
+        top = 2**bits - 1
+        hom, het = rng.integers(0, top // 2 + 1, n), rng.integers(0, top // 2 + 1, n)
+        missing = np.arange(n) == v
+        phased = layout == 2 and v == 3
+        body += struct.pack("<I", n) if layout == 1 else b""
+        for s in (f"id{v}", f"rs{v}", "07"):
+            body += struct.pack("<H", len(s)) + s.encode()
+        body += struct.pack("<I", 100 + v) + (struct.pack("<H", 2) if layout == 2 else b"")
+        for s in ("A", "GT"):
+            body += struct.pack("<I", len(s)) + s.encode()
+        if layout == 1:
+            p = np.stack([hom, het, 32768 - hom - het], 1)
+            p[missing] = 0
+            block = p.astype("<u2").tobytes()
+            g = np.where(missing, np.nan, (p[:, 1] + 2 * p[:, 2]) / 32768)
+        else:
+            pairs = np.stack([hom, het], 1).reshape(-1)
+            flat = (pairs[:, None] >> np.arange(bits) & 1).astype(np.uint8).reshape(-1)
+            block = struct.pack("<IHBB", n, 2, 2, 2) + bytes(2 | (128 if x else 0) for x in missing) + bytes([int(phased), bits]) + np.packbits(flat, bitorder="little").tobytes()
+            a, b = hom / top, het / top
+            g = np.where(missing, np.nan, (2 - a - b) if phased else b + 2 * (1 - a - b))
+        packed = {0: lambda x: x, 1: zlib.compress, 2: zstandard.ZstdCompressor().compress}[compression](block)
+        if layout == 1:
+            body += (struct.pack("<I", len(packed)) if compression else b"") + packed
+        else:
+            body += struct.pack("<I", len(packed) + 4 * bool(compression)) + (struct.pack("<I", len(block)) if compression else b"") + packed
+        want.append(g)
+    head = struct.pack("<IIII", 20, 20, m, n) + b"bgen" + struct.pack("<I", compression | layout << 2)
+    (tmp_path / name).write_bytes(head + body)
+    return want
+
+
+@pytest.mark.parametrize("compression,bits,layout", [(0, 8, 2), (1, 16, 2), (2, 11, 2), (1, 1, 2), (1, 15, 1), (0, 15, 1)])
+def test_bgen(spark, tmp_path, compression, bits, layout):
+    from allelia.sources import bgen
+
+    want = _bgen(tmp_path, "x.bgen", compression, bits, layout)
+    rows = bgen.read_bgen(spark, str(tmp_path / "x.bgen")).orderBy("pos").collect()
+    assert [(r.id, r.rsid, r.chrom, r.pos, r.ref, r.alt) for r in rows] == [(f"id{v}", f"rs{v}", "07", 100 + v, "A", "GT") for v in range(4)]
+    for r, g in zip(rows, want):
+        assert [x is None for x in r.dosage] == np.isnan(g).tolist()
+        assert [x for x in r.dosage if x is not None] == pytest.approx(g[~np.isnan(g)].tolist(), abs=1e-9)
