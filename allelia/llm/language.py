@@ -109,6 +109,7 @@ def train(documents: DataFrame, usable=None) -> tuple[Filter, str]:
 
     The sample is bounded: DOCS documents a language, drawn by a hash of doc_id. Rows with a null id, text or lang
     take no part; ties go to the language that sorts first."""
+    X.bounded_batches(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
     sizes = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not sizes:
@@ -131,6 +132,7 @@ def predict(documents: DataFrame, model: Filter, default: str) -> DataFrame:
 
     A text with letters but without a known n-gram gets the default language with score 0; equal counts go to the
     language that sorts first. Whole texts decide."""
+    X.bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model, default))
 
     def make(batches):

@@ -170,6 +170,7 @@ def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
     open. So a group of thousands of copies costs a star, and no
     pair of different components goes unchecked.
     """
+    X.bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     sketch = X.table(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, lo long, hi long, sig binary, keys array<long>"), "sketch")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")

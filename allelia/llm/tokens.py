@@ -10,7 +10,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words whose ids a worker keeps; later words are encoded each time.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
 
 
 def default_path() -> str:
@@ -41,9 +41,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
         ranks = path.removesuffix(".json") + ".tiktoken"
@@ -60,6 +58,10 @@ class Encoder:
             self.plain = None
 
     def slow(self, text: str) -> list[int]:
+        if self.tokenizer is None:  # most workers never need it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _parts(self, text: str):

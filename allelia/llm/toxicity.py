@@ -144,6 +144,7 @@ def train(documents: DataFrame, labels: DataFrame, usable=None) -> Model:
     documents differ by APART standard deviations, so that long texts don't add up noise. Null labels and null ids take no part; without a toxic example every
     score is 0.
     """
+    X.bounded_batches(documents.sparkSession)
     usable = F.lit(True) if usable is None else usable
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", "toxic")
     count = known.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
@@ -169,6 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, usable=None) -> Model:
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents(doc_id, text) with score (0 to 1) and predicted (1 from 0.5 on); null or empty text has the bias alone."""
+    X.bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):
@@ -182,6 +184,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of documents, whole, that score below 0.5."""
+    X.bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):
