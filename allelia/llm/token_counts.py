@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import text as X
 from .tokens import default_path, encoder
 
 
@@ -21,6 +22,7 @@ def _counts(path: str):
 
 def histogram(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(n_tokens, n_docs) over documents(text): rows by exact encoded length without special tokens; null text has 0."""
+    X.bounded_batches(documents.sparkSession)
     lengths = documents.select("text").mapInArrow(_counts(path or default_path()), "n_tokens long")
     return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
@@ -60,4 +62,4 @@ def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return suffix_sums(X.table(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "histogram"))
