@@ -590,6 +590,13 @@ def ld_gene(spark, sf_dir):
     return D.pair_products(V.calls(spark, sf_dir, complete=True), pairs)
 
 
+@query("ld_gene_full", MEMBERS + """, p AS (SELECT x.grp, x.variant_id AS a, y.variant_id AS b FROM members x JOIN members y ON x.grp = y.grp AND x.variant_id <= y.variant_id)
+SELECT grp AS "group", a, b, CAST(SUM(x.g * y.g) AS BIGINT) AS sab, COUNT(*) FILTER (x.g = 1 AND y.g = 1) AS n11, COUNT(*) FILTER (x.g = 1 AND y.g = 2) AS n12, COUNT(*) FILTER (x.g = 2 AND y.g = 1) AS n21, COUNT(*) FILTER (x.g = 2 AND y.g = 2) AS n22
+FROM p JOIN c0 x ON x.variant_id = a JOIN c0 y ON y.variant_id = b AND x.sample_id = y.sample_id GROUP BY 1, 2, 3""")
+def ld_gene_full(spark, sf_dir):
+    return D.group_products(V.calls(spark, sf_dir, complete=True), members(spark, sf_dir))
+
+
 @query("ld_neighbor", """, car AS (SELECT variant_id, COUNT(*) AS c FROM c0 GROUP BY 1),
 l AS (SELECT variant_id AS b, c, LAG(variant_id) OVER w AS a, LAG(c) OVER w AS ca FROM variants JOIN car USING (variant_id) WINDOW w AS (PARTITION BY chrom ORDER BY pos, variant_id)),
 sh AS (SELECT a, b, COUNT(*) AS n11 FROM l JOIN c0 x ON x.variant_id = a JOIN c0 y ON y.variant_id = b AND x.sample_id = y.sample_id GROUP BY 1, 2),
