@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -151,6 +152,9 @@ def kernel_tests(calls: DataFrame, samples: DataFrame, members: DataFrame) -> Da
 
 # ---- permutation -----------------------------------------------------------------------------------------------------
 
+# A statistic is made of a group's cells (var, who, g), sorted by var, and maps a block of replicates (rows) to values. All
+# rows of a block are permutations of one trait, so that sums over all samples are taken from the first.
+
 
 def _carriers(row):
     ids = sorted({x["variant_id"] for x in row.cells})
@@ -158,74 +162,83 @@ def _carriers(row):
     return np.array([place[x["variant_id"]] for x in row.cells]), np.array([x["k"] for x in row.cells]), np.array([x["g"] for x in row.cells], float), len(ids)
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where the runs of a sorted key begin."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+
+
 def _stat_cmc(var, who, g, m, n):
     carrier = np.unique(who)
-    return lambda y: np.abs(y[:, carrier].sum(1) - len(carrier) * y.mean(1))
+    return lambda y: np.abs(y[:, carrier].sum(1) - len(carrier) * y[0].mean())
 
 
 def _stat_zeggini(var, who, g, m, n):
-    return lambda y: np.abs(y[:, who].sum(1) - len(who) * y.mean(1))
+    return lambda y: np.abs(y[:, who].sum(1) - len(who) * y[0].mean())
 
 
 def _stat_mb(var, who, g, m, n):
     """Weights by the frequency among the replicate's own controls."""
+    by_var, order = _starts(var), np.argsort(who, kind="stable")
+    carrier, by_who = who[order], _starts(who[order])
+    member = carrier[by_who]
 
     def stat(y):
-        out = np.empty(len(y))
-        for i, yy in enumerate(y):
-            control = yy == 0
-            ac = np.bincount(var, g * control[who], minlength=m)
-            q = (ac + 1) / (2 * control.sum() + 2)
-            w = g / np.sqrt(n * q * (1 - q))[var]
-            score = np.bincount(who, w, minlength=n)
-            r, p = yy - yy.mean(), yy.mean()
-            v = p * (1 - p) * (score @ score - score.sum() ** 2 / n)
-            out[i] = (score @ r) ** 2 / v if v > 0 else 0
-        return out
+        p, control = y[0].mean(), int((y[0] == 0).sum())
+        q = (np.add.reduceat((y[:, who] == 0) * g, by_var, 1) + 1) / (2 * control + 2)
+        w = g * (1 / np.sqrt(n * q * (1 - q)))[:, var]
+        score = np.add.reduceat(w[:, order], by_who, 1)
+        v = p * (1 - p) * ((score**2).sum(1) - score.sum(1) ** 2 / n)
+        u = (score * (y[:, member] - p)).sum(1)
+        return np.where(v > 0, u**2 / np.where(v > 0, v, 1), 0)
 
     return stat
 
 
 def _stat_rarecover(var, who, g, m, n):
     """Greedy union of carriers that maximises the correlation with the trait."""
-    sets = [np.unique(who[var == k]) for k in range(m)]
-
-    def corr(mask, yy):
-        k = mask.sum()
-        return -1.0 if k in (0, n) else (yy[mask].sum() - k * yy.mean()) / math.sqrt(k * (1 - k / n) * max(yy.var() * n, 1e-300))
+    member, at = np.unique(who, return_inverse=True)
+    cell = np.unique(var * len(member) + at)
+    var, at = cell // len(member), cell % len(member)
+    begin = _starts(var)
+    sets = np.split(at, begin[1:])
 
     def stat(y):
-        out = np.empty(len(y))
-        for i, yy in enumerate(y):
-            mask, best, left = np.zeros(n, bool), -1.0, set(range(m))
-            while left:
-                tried = []
-                for k in left:
-                    new = mask.copy()
-                    new[sets[k]] = True
-                    tried.append((corr(new, yy), -k))
-                top = max(tried)
-                if top[0] <= best + 1e-12:
-                    break
-                best = top[0]
-                mask[sets[-top[1]]] = True
-                left.discard(-top[1])
-            out[i] = best
-        return out
+        mean, spread = y[0].mean(), max(y[0].var() * n, 1e-300)
+        own, best, left = y[:, member], np.full(len(y), -1.0), np.arange(len(y))
+        free, total, size = np.ones((len(y), len(member))), np.zeros(len(y)), np.zeros(len(y))
+        while len(left):
+            total_of = total[left, None] + np.add.reduceat((own[left] * free[left])[:, at], begin, 1)
+            size_of = size[left, None] + np.add.reduceat(free[left][:, at], begin, 1)
+            some = size_of < n
+            corr = np.where(some, (total_of - size_of * mean) / np.sqrt(np.where(some, size_of * (1 - size_of / n), 1) * spread), -1.0)
+            top = corr.argmax(1)
+            value = corr[np.arange(len(left)), top]
+            more = np.flatnonzero(value > best[left] + 1e-12)
+            for k in more.tolist():
+                free[left[k], sets[top[k]]] = 0
+            left, top, value, row = left[more], top[more], value[more], more
+            best[left], total[left], size[left] = value, total_of[row, top], size_of[row, top]
+        return best
 
     return stat
 
 
 def _stat_cmat(var, who, g, m, n):
     def stat(y):
-        case = y.sum(1)
-        ma, mu = (y[:, who] * g).sum(1), ((1 - y[:, who]) * g).sum(1)
+        case = y[0].sum()
+        ma = (y[:, who] * g).sum(1)
+        mu = g.sum() - ma
         ra, ru = 2 * m * case - ma, 2 * m * (n - case) - mu
         return n / (2 * case * (n - case) * m) * (ma * ru - mu * ra) ** 2 / ((ma + mu) * (ra + ru))
 
     return stat
 
 
+@lru_cache(4)
+def _log_factorials(n: int) -> np.ndarray:
+    return np.array([math.lgamma(i + 1) for i in range(n + 1)])
+
+
 def _stat_kbac(var, who, g, m, n):
     """Sum over genotype patterns of the hypergeometric weight times the case minus control frequency."""
     keys: dict[int, list] = {}
@@ -234,28 +247,26 @@ def _stat_kbac(var, who, g, m, n):
     names = {p: i for i, p in enumerate(sorted({tuple(sorted(v)) for v in keys.values()}))}
     member = np.array(sorted(keys))
     pattern = np.array([names[tuple(sorted(keys[k]))] for k in member])
-    size = np.bincount(pattern, minlength=len(names))
-    lf = np.array([math.lgamma(i + 1) for i in range(n + 1)])
-
-    def cdf(k, total, case):
-        lo, hi = max(0, total - (n - case)), min(k, total)
-        x = np.arange(lo, hi + 1)
-        return float(np.exp(lf[case] - lf[x] - lf[case - x] + lf[n - case] - lf[total - x] - lf[n - case - total + x] - lf[n] + lf[total] + lf[n - total]).sum()) if hi >= lo else 0.0
-
-    cache: dict = {}
+    size, lf = np.bincount(pattern, minlength=len(names)), _log_factorials(n)
+    member = member[np.argsort(pattern, kind="stable")]
+    begin = np.cumsum(size) - size
+    tables: dict = {}
+
+    def terms(total, case):
+        """The term of a pattern that total samples have, by the number of cases among them."""
+        x = np.arange(max(0, total - (n - case)), min(total, case) + 1)
+        p = np.exp(lf[case] - lf[x] - lf[case - x] + lf[n - case] - lf[total - x] - lf[n - case - total + x] - lf[n] + lf[total] + lf[n - total])
+        out = np.zeros(total + 1)
+        out[x] = np.cumsum(p) * (x / case - (total - x) / (n - case))
+        return out
 
     def stat(y):
-        out = np.empty(len(y))
-        for i, yy in enumerate(y):
-            case = int(yy.sum())
-            a = np.bincount(pattern, yy[member], minlength=len(names)).astype(int)
-            total = 0.0
-            for k, t in zip(a.tolist(), size.tolist()):
-                if (k, t, case) not in cache:
-                    cache[k, t, case] = cdf(k, t, case)
-                total += cache[k, t, case] * (k / case - (t - k) / (n - case))
-            out[i] = total
-        return out
+        case = int(y[0].sum())
+        if case not in tables:
+            by_size, place = np.unique(size, return_inverse=True)
+            tables[case] = np.concatenate([terms(int(t), case) for t in by_size]), (np.cumsum(by_size + 1) - by_size - 1)[place]
+        table, first = tables[case]
+        return table[first + np.add.reduceat(y[:, member], begin, 1).astype(int)].sum(1)
 
     return stat
 
@@ -263,6 +274,8 @@ def _stat_kbac(var, who, g, m, n):
 STATISTICS = {"cmc": _stat_cmc, "zeggini": _stat_zeggini, "mb": _stat_mb, "rarecover": _stat_rarecover, "cmat": _stat_cmat, "kbac": _stat_kbac}
 #: Samples whose trait is broadcast at most (8 bytes each).
 MOST_SAMPLES = 5_000_000
+#: Cells times replicates that a statistic takes at once (8 bytes each, a few times over).
+BLOCK_CELLS = 2_000_000
 
 
 def permutation_test(calls: DataFrame, samples: DataFrame, members: DataFrame, name: str, y: str, n_perm: int = 1000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
@@ -274,29 +287,33 @@ def permutation_test(calls: DataFrame, samples: DataFrame, members: DataFrame, n
     if len(people) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} samples: permute by blocks of samples instead")
     trait = samples.sparkSession.sparkContext.broadcast((people["sample_id"].to_numpy(), people["y"].to_numpy()))
-    rows = calls.where("g > 0").join(members, "variant_id").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("variant_id", "sample_id", "g"))).alias("cells"))
-    make, stop = STATISTICS[name], int(2 * alpha * n_perm)
+    session = samples.sparkSession
+    # a small table is much work here, so its groups are dealt out by number rather than by bytes
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    cells = calls.where("g > 0").join(members, "variant_id").repartition(tasks, "group")
+    rows = cells.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("variant_id", "sample_id", "g"))).alias("cells"))
+    make, stop = STATISTICS[name], max(1, int(2 * alpha * n_perm))
 
     def run(batches):
         ids, values = trait.value
         for frame in batches:
-            out = []
+            groups = []
             for row in frame.itertuples():
                 cells = [{"variant_id": x["variant_id"], "k": k, "g": x["g"]} for x, k in zip(row.cells, np.searchsorted(ids, [x["sample_id"] for x in row.cells]))]
                 stat = make(*_carriers(type("Row", (), {"cells": cells})), len(ids))
-                seen = float(stat(values[None, :])[0])
-                rng = np.random.Generator(np.random.PCG64(seed))
-                greater = equal = done = 0
-                while done < n_perm and greater + equal < max(1, stop):
-                    block = np.stack([rng.permutation(values) for _ in range(min(50, n_perm - done))])
-                    got = stat(block)
-                    for x in got:
-                        done += 1
-                        greater += x > seen + 1e-9
-                        equal += abs(x - seen) <= 1e-9
-                        if greater + equal >= max(1, stop):
-                            break
-                out.append((row.group, round(seen, 6), done, int(greater), int(equal), (greater + 0.5 * equal) / done if done else None))
+                groups.append([row.group, stat, max(1, BLOCK_CELLS // len(cells)), float(stat(values[None, :])[0]), 0, 0, 0])
+            rng, drawn, left = np.random.Generator(np.random.PCG64(seed)), 0, groups
+            while drawn < n_perm and left:
+                block = np.stack([rng.permutation(values) for _ in range(min(50, n_perm - drawn))])
+                drawn += len(block)
+                for x in left:
+                    got = np.concatenate([x[1](block[k : k + x[2]]) for k in range(0, len(block), x[2])])
+                    greater, equal = got > x[3] + 1e-9, np.abs(got - x[3]) <= 1e-9
+                    hits = x[5] + x[6] + np.cumsum(greater | equal)
+                    used = min(len(got), int(np.searchsorted(hits, stop)) + 1)
+                    x[4:] = x[4] + used, x[5] + int(greater[:used].sum()), x[6] + int(equal[:used].sum())
+                left = [x for x in left if x[5] + x[6] < stop]
+            out = [(name, round(seen, 6), done, greater, equal, (greater + 0.5 * equal) / done if done else None) for name, _, _, seen, done, greater, equal in groups]
             yield pd.DataFrame(out, columns=["group", "stat", "actual_perm", "n_greater", "n_equal", "perm_pvalue"])
 
     return rows.mapInPandas(run, "group string, stat double, actual_perm long, n_greater long, n_equal long, perm_pvalue double")

@@ -47,9 +47,13 @@ def kernel_tests(spark, sf_dir):
     return T.kernel_tests(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), groups(spark, sf_dir))
 
 
+#: As many as the reference draws for a group; groups with 2 * alpha * REPLICATES hits stop before.
+REPLICATES = 10_000
+
+
 def _permutation(name):
     def run(spark, sf_dir):
-        return T.permutation_test(V.calls(spark, sf_dir), binary(spark, sf_dir), groups(spark, sf_dir), name, "case", n_perm=200)
+        return T.permutation_test(V.calls(spark, sf_dir), binary(spark, sf_dir), groups(spark, sf_dir), name, "case", n_perm=REPLICATES)
 
     return run
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from allelia import views as V
 from allelia.operators import linkage as D
+from allelia.operators import setbased as T
+from allelia.plans import kernels  # noqa: F401  registers its queries
 from allelia.plans import queries as association
 
 
@@ -32,3 +38,50 @@ def test_linkage_of_overlapping_groups(spark):
     got = sorted(tuple(r) for r in D.group_products(calls, members).collect())
     pair = [(1, 1, 5, 1, 0, 0, 1), (1, 2, 6, 0, 1, 0, 1), (2, 2, 8, 0, 0, 0, 2)]
     assert got == [("x", *p) for p in pair] + [("y", *p) for p in pair] + [("y", 3, 3, 1, 1, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("name", sorted(T.STATISTICS))
+def test_replicates_are_the_references(spark, sf_dir, name):
+    rows = association.QUERIES[f"perm_{name}"](spark, sf_dir).collect()
+    assert rows and all(r.actual_perm == 10_000 or r.n_greater + r.n_equal == 1_000 for r in rows)
+    assert any(r.actual_perm > 1_000 for r in rows)
+
+
+def test_statistics_of_blocks():
+    rng = np.random.default_rng(8)
+    n, m = 60, 5
+    cells = sorted({(int(v), int(k)) for v, k in zip(np.append(np.arange(m), rng.integers(0, m, 40)), rng.integers(0, n, 45))})
+    var, who = np.array(cells).T
+    g = rng.integers(1, 3, len(cells)).astype(float)
+    y = np.stack([rng.permutation(np.arange(n) % 3 == 0) for _ in range(20)]).astype(float)
+    full = np.zeros((n, m))
+    full[who, var] = g
+
+    def corr(mask, yy):
+        return -1.0 if mask.all() else np.corrcoef(mask, yy)[0, 1]
+
+    def rarecover(yy):
+        mask, best = np.zeros(n, bool), -1.0
+        while (top := max(range(m), key=lambda k: (corr(mask | (full[:, k] > 0), yy), -k))) is not None:
+            value = corr(mask | (full[:, top] > 0), yy)
+            if value <= best + 1e-12:
+                return best
+            mask, best = mask | (full[:, top] > 0), value
+
+    def mb(yy):
+        q = (full[yy == 0].sum(0) + 1) / (2 * (yy == 0).sum() + 2)
+        score = (full / np.sqrt(n * q * (1 - q))).sum(1)
+        return (score @ (yy - yy.mean())) ** 2 / (yy.mean() * (1 - yy.mean()) * n * score.var())
+
+    def kbac(yy):
+        case, out = int(yy.sum()), 0.0
+        kinds = {tuple(x) for x in full if x.any()}
+        for kind in kinds:
+            own = (full == kind).all(1)
+            t, k = int(own.sum()), int(yy[own].sum())
+            below = sum(math.comb(case, x) * math.comb(n - case, t - x) for x in range(k + 1)) / math.comb(n, t)
+            out += below * (k / case - (t - k) / (n - case))
+        return out
+
+    for name, one in (("rarecover", rarecover), ("mb", mb), ("kbac", kbac)):
+        assert T.STATISTICS[name](var, who, g, m, n)(y) == pytest.approx(np.array([one(yy) for yy in y]), abs=1e-9), name
