@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import association as A
+from ..operators import kinship as K
 from ..operators import logistic as B
 from ..operators import mixed as M
 from ..operators import setbased as T
@@ -81,3 +82,13 @@ def fam_zeggini(spark, sf_dir):
 def infinitesimal_solve(spark, sf_dir):
     out = M.infinitesimal_solve(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), "y", V.read(spark, sf_dir, "part").count(), 1.0)
     return out.select("sample_id", F.round("x", 3).alias("x"))
+
+
+@query("ibs_kinship_full")
+def ibs_kinship_full(spark, sf_dir):
+    return K.ibs_all(V.calls(spark, sf_dir), V.samples(spark, sf_dir), V.read(spark, sf_dir, "part").count())
+
+
+@query("pair_sharing_full")
+def pair_sharing_full(spark, sf_dir):
+    return K.pair_counts(V.calls(spark, sf_dir), V.samples(spark, sf_dir), V.read(spark, sf_dir, "part").count()).where("i < j")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from allelia import views as V
+from allelia.operators import kinship as K
 from allelia.operators import linkage as D
 from allelia.operators import setbased as T
 from allelia.plans import kernels  # noqa: F401  registers its queries
@@ -85,3 +86,31 @@ def test_statistics_of_blocks():
 
     for name, one in (("rarecover", rarecover), ("mb", mb), ("kbac", kbac)):
         assert T.STATISTICS[name](var, who, g, m, n)(y) == pytest.approx(np.array([one(yy) for yy in y]), abs=1e-9), name
+
+
+@pytest.mark.parametrize("rows", [1_000, 3])
+def test_every_pair_with_missing_calls(spark, monkeypatch, rows):
+    monkeypatch.setattr(K, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(6)
+    n, m = 17, 12
+    full = rng.choice([0, 0, 1, 2, -1], (n, m))
+    full[:, 0], full[3], full[4] = 1, -1, 0  # a variant that all carry, a sample without calls, one that is hom-ref
+    calls = spark.createDataFrame([(v, 10 * k, None if full[k, v] < 0 else int(full[k, v])) for k in range(n) for v in range(m) if full[k, v]], "variant_id long, sample_id long, g int")
+    samples = spark.createDataFrame([(10 * k,) for k in range(n)], "sample_id long")
+    counts = {(r.i, r.j): (r.p0, r.p1, r.p2, r.p9) for r in K.pair_counts(calls, samples, m).collect()}
+    kinship = {(r.i, r.j): r.kinship for r in K.ibs_all(calls, samples, m).collect()}
+    assert len(counts) == len(kinship) == n * (n + 1) // 2
+    for a in range(n):
+        for b in range(a, n):
+            ok = (full[a] >= 0) & (full[b] >= 0)
+            apart = np.abs(full[a] - full[b])[ok]
+            assert counts[10 * a, 10 * b] == tuple(int((apart == d).sum()) for d in (2, 1, 0)) + (int((~ok).sum()),)
+            assert kinship[10 * a, 10 * b] == (pytest.approx((2 - apart).mean(), abs=1e-6) if ok.any() else 0)
+
+
+def test_pair_queries_take_every_pair(spark, sf_dir):
+    n, m = spark.read.parquet(f"{sf_dir}/customer.parquet").count(), spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    rows = association.QUERIES["pair_sharing_full"](spark, sf_dir).collect()
+    assert len({(r.i, r.j) for r in rows}) == len(rows) == n * (n - 1) // 2
+    assert all(r.p0 + r.p1 + r.p2 + r.p9 == m for r in rows) and any(r.p9 for r in rows)
+    assert association.QUERIES["ibs_kinship_full"](spark, sf_dir).count() == n * (n + 1) // 2
