@@ -11,6 +11,7 @@ from ..operators import kinship as K
 from ..operators import logistic as B
 from ..operators import mixed as M
 from ..operators import setbased as T
+from ..operators import summary as S
 from .queries import members, query
 
 
@@ -92,3 +93,8 @@ def ibs_kinship_full(spark, sf_dir):
 @query("pair_sharing_full")
 def pair_sharing_full(spark, sf_dir):
     return K.pair_counts(V.calls(spark, sf_dir), V.samples(spark, sf_dir), V.read(spark, sf_dir, "part").count()).where("i < j")
+
+
+@query("wide_genotypes_full")
+def wide_genotypes_full(spark, sf_dir):
+    return S.wide_all(V.calls(spark, sf_dir), V.variants(spark, sf_dir), V.samples(spark, sf_dir))

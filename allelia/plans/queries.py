@@ -716,6 +716,13 @@ def id_sets(spark, sf_dir):
     return a.intersect(b).withColumn("side", F.lit("both")).unionAll(a.exceptAll(b).distinct().join(b, "id", "left_anti").withColumn("side", F.lit("left")))
 
 
+@query("id_sets_full", " SELECT DISTINCT c_nationkey AS id, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'both' ELSE 'left' END AS side FROM customer")
+def id_sets_full(spark, sf_dir):
+    a = V.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"))
+    b = V.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"))
+    return a.intersect(b).withColumn("side", F.lit("both")).unionAll(a.distinct().join(b, "id", "left_anti").withColumn("side", F.lit("left")))
+
+
 @query("windowed_events", " SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY 1, 2")
 def windowed_events(spark, sf_dir):
     from ..streaming.counters import windowed_events as windows

@@ -114,3 +114,18 @@ def test_pair_queries_take_every_pair(spark, sf_dir):
     assert len({(r.i, r.j) for r in rows}) == len(rows) == n * (n - 1) // 2
     assert all(r.p0 + r.p1 + r.p2 + r.p9 == m for r in rows) and any(r.p9 for r in rows)
     assert association.QUERIES["ibs_kinship_full"](spark, sf_dir).count() == n * (n + 1) // 2
+
+
+def test_pivot_of_every_sample(spark, sf_dir):
+    ids = sorted(r.sample_id for r in V.samples(spark, sf_dir).collect())
+    want = {r.variant_id: [0] * len(ids) for r in V.variants(spark, sf_dir).collect()}
+    for r in V.calls(spark, sf_dir).collect():
+        want[r.variant_id][ids.index(r.sample_id)] = r.g
+    rows = association.QUERIES["wide_genotypes_full"](spark, sf_dir).collect()
+    assert {r.variant_id: r.genotypes for r in rows} == want and len(rows) == len(want)
+    assert any(None in x for x in want.values())
+
+
+def test_id_sets_take_every_customer(spark, sf_dir):
+    found = {r.id for r in association.QUERIES["id_sets_full"](spark, sf_dir).collect()}
+    assert found == {r.c_nationkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
