@@ -11,6 +11,7 @@ import pytest
 from allelia import views as V
 from allelia.operators import kinship as K
 from allelia.operators import linkage as D
+from allelia.operators import mixed as M
 from allelia.operators import setbased as T
 from allelia.plans import kernels  # noqa: F401  registers its queries
 from allelia.plans import queries as association
@@ -129,3 +130,9 @@ def test_pivot_of_every_sample(spark, sf_dir):
 def test_id_sets_take_every_customer(spark, sf_dir):
     found = {r.id for r in association.QUERIES["id_sets_full"](spark, sf_dir).collect()}
     assert found == {r.c_nationkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
+
+
+def test_unconverged_solution_is_an_error(spark, sf_dir):
+    calls, samples = V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir)
+    with pytest.raises(ArithmeticError, match="not converged in 1 rounds"):
+        M.infinitesimal_solve(calls, samples, "y", 200, 1.0, rounds=1)
