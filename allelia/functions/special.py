@@ -26,8 +26,19 @@ def chi2_1_sf_sql(x: str) -> str:
     return erfc_sql(f"sqrt(({x}) / 2.0e0)")
 
 
+def log10_chi2_1_sf_sql(x: str) -> str:
+    """log10 of P(chi-square with one degree of freedom > x): the logarithm of the same fit, so that nothing underflows."""
+    z = f"sqrt(({x}) / 2.0e0)"
+    t = f"(1.0e0 / (1.0e0 + 0.5e0 * {z}))"
+    poly = f"{_ERFC[-1]}e0"
+    for c in _ERFC[-2::-1]:
+        poly = f"({c}e0 + {t} * {poly})"
+    return f"((ln({t}) - ({x}) / 2.0e0 - 1.26551223e0 + {t} * {poly}) / ln(10.0e0))"
+
+
 def normal_quantile_sql(p: str) -> str:
     """Inverse of the standard normal distribution by Acklam's rational approximation, relative error under 1.2e-9."""
+    # The coefficients of that approximation.
     a = "-3.969683028665376e+01 2.209460984245205e+02 -2.759285104469687e+02 1.383577518672690e+02 -3.066479806614716e+01 2.506628277459239e+00".split()
     b = "-5.447609879822406e+01 1.615858368580409e+02 -1.556989798598866e+02 6.680131188771972e+01 -1.328068155288572e+01 1.0e0".split()
     c = "-7.784894002430293e-03 -3.223964580411365e-01 -2.400758277161838e+00 -2.549732539343734e+00 4.374664141464968e+00 2.938163982698783e+00".split()
@@ -51,6 +62,18 @@ def log_factorials(spark: SparkSession, most: int) -> DataFrame:
     return rows.withColumn("lf", F.sum(F.when(F.col("k") > 0, F.ln(F.col("k").cast("double"))).otherwise(F.lit(0.0))).over(Window.orderBy("k")))
 
 
+_log_factorials = np.zeros(1)
+
+
+def log_factorial_table(most: int) -> np.ndarray:
+    """ln k! for k from 0 to most at least, kept for later calls; 8 bytes an entry, most bounded by twice the samples."""
+    global _log_factorials
+    if len(_log_factorials) <= most:
+        k = np.arange(1, most + 1, dtype=float)
+        _log_factorials = np.append(0.0, np.cumsum(np.log(k)))
+    return _log_factorials
+
+
 def chi2_1_sf(x: float) -> float:
     return math.erfc(math.sqrt(max(x, 0.0) / 2))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import log_factorials
+from ..functions.special import log_factorial_table
+from .ranks import value_ranks
 
 
 def tally(g: str = "g") -> list[Column]:
@@ -24,8 +27,8 @@ def frequencies(counts: DataFrame, n: Column | int) -> DataFrame:
     called = n - F.col("n_missing")
     af = d(F.col("ac")) / d(2 * n)
     return counts.withColumns({
-        "n_ref": n - F.col("n_het") - F.col("n_alt") - F.col("n_missing"), "af": F.round(af, 9),
-        "af_called": F.round(F.when(called > 0, d(F.col("ac")) / d(2 * called)), 9), "maf": F.round(F.least(af, 1 - af), 9), "call_rate": F.round(d(called) / d(n), 9),
+        "n_ref": n - F.col("n_het") - F.col("n_alt") - F.col("n_missing"), "af": af,
+        "af_called": F.when(called > 0, d(F.col("ac")) / d(2 * called)), "maf": F.least(af, 1 - af), "call_rate": d(called) / d(n),
     })
 
 
@@ -49,35 +52,48 @@ def control_frequency(calls: DataFrame, samples: DataFrame, control: int = 1) ->
     n = own.count()
     counts = calls.join(own.select("sample_id"), "sample_id").groupBy("variant_id").agg(*tally())
     an = 2 * (F.lit(n) - F.col("n_missing"))
-    return counts.select("variant_id", "ac", an.alias("an"), F.round((F.col("ac") + 1).cast("double") / (an + 2).cast("double"), 9).alias("q"))
-
-
-def hwe_exact(counts: DataFrame, most: int) -> DataFrame:
-    """Exact Hardy-Weinberg p of counts(variant_id, n_ref, n_het, n_alt): the sum of the probabilities of all
-    heterozygote counts that are at most as likely as the one seen. 0 without genotypes."""
-    spark = counts.sparkSession
-    lf = F.broadcast(log_factorials(spark, most))  # most is twice the number of samples
-    rows = counts.select("variant_id", "n_het", (F.col("n_ref") + F.col("n_het") + F.col("n_alt")).alias("n"), (F.col("n_het") + 2 * F.least("n_ref", "n_alt")).alias("rare"))
-    grid = rows.withColumn("h", F.explode(F.expr("sequence(rare % 2, rare, cast(2 as bigint))")))
-    grid = grid.withColumns({"a": F.expr("(rare - h) div 2"), "b": F.expr("n - h - (rare - h) div 2")})
-    for name, key in (("fa", "a"), ("fh", "h"), ("fb", "b")):
-        grid = grid.join(lf.select(F.col("k").alias(key), F.col("lf").alias(name)), key)
-    weight = F.col("h") * F.ln(F.lit(2.0)) - F.col("fa") - F.col("fh") - F.col("fb")
-    grid = grid.withColumn("w", weight)
-    seen = grid.groupBy("variant_id").agg(F.max("w").alias("top"), F.max(F.when(F.col("h") == F.col("n_het"), F.col("w"))).alias("own"))
-    both = grid.select("variant_id", "w").join(seen, "variant_id")
-    p = F.sum(F.when(F.col("w") <= F.col("own") + 1e-9, F.exp(F.col("w") - F.col("top"))).otherwise(0.0)) / F.sum(F.exp(F.col("w") - F.col("top")))
-    return both.groupBy("variant_id").agg(F.round(F.least(p, F.lit(1.0)), 6).alias("hwe_p"))
+    return counts.select("variant_id", "ac", an.alias("an"), ((F.col("ac") + 1).cast("double") / (an + 2).cast("double")).alias("q"))
+
+
+def hwe_p(n_ref: np.ndarray, n_het: np.ndarray, n_alt: np.ndarray) -> np.ndarray:
+    """Exact Hardy-Weinberg p of genotype counts: the share of the heterozygote counts that are at most as likely as the one
+    seen. Terms are ratios of factorials relative to the largest, so none over- or underflows."""
+    lf = log_factorial_table(int((n_ref + n_het + n_alt).max(initial=0)))
+    out = np.zeros(len(n_het))
+    for i, (a, h, b) in enumerate(zip(n_ref.tolist(), n_het.tolist(), n_alt.tolist())):
+        n, rare = a + h + b, h + 2 * min(a, b)
+        k = np.arange(rare % 2, rare + 1, 2)
+        few = (rare - k) // 2
+        w = k * np.log(2.0) - lf[few] - lf[k] - lf[n - k - few]
+        e = np.exp(w - w.max())
+        out[i] = min(1.0, e[w <= w[(h - k[0]) // 2] + 1e-9].sum() / e.sum())
+    return out
+
+
+def hwe_exact(counts: DataFrame) -> DataFrame:
+    """(variant_id, hwe_p): exact Hardy-Weinberg p of counts(variant_id, n_ref, n_het, n_alt). Many variants have equal
+    counts, so each distinct triple is computed once, in a numpy kernel."""
+    key = ["n_ref", "n_het", "n_alt"]
+    rows = counts.select("variant_id", *[F.col(c).cast("long").alias(c) for c in key])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hwe_p(*(c.to_numpy() for c in batch.columns)))], names=[*key, "hwe_p"])
+
+    p = rows.select(*key).distinct().mapInArrow(run, "n_ref long, n_het long, n_alt long, hwe_p double")
+    return rows.join(p, key).select("variant_id", "hwe_p")
 
 
 def quantity_summary(rows: DataFrame, value: str) -> DataFrame:
     """Five numbers by index (element int(n * q) of the sorted values), mean and sample variance, of one column.
 
-    The elements are taken by row number, without gathering the values in one place."""
-    from pyspark.sql import Window
+    Values are dealt to ranges; the numbers of smaller ranges say in which one each element lies and at which place there."""
+    ranked = value_ranks(rows.select(F.col(value).alias("v")), "v")
+
+    def at(q):
+        place = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("same")), F.col("v")))
 
-    ranked = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.row_number().over(Window.orderBy(value)).alias("r"))
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    ranked = ranked.withColumn("n", n)
-    at = lambda q: F.max(F.when(F.col("r") - 1 == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("v")))
-    return ranked.agg(at(0.0).alias("minimum"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("v").alias("maximum"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.var_samp("v"), 2).alias("variance"))
+    out = ranked.agg(at(0.0).alias("minimum"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("v").alias("maximum"))
+    spread = rows.agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
+    return out.join(F.broadcast(spread))  # one row each

@@ -11,7 +11,7 @@ from .counts import tally
 def impute_mean(calls: DataFrame, n: int) -> DataFrame:
     """Missing calls become twice the frequency among called samples (zeros included); others stay."""
     means = calls.groupBy("variant_id").agg(*tally()).select("variant_id", (F.col("ac").cast("double") / (F.lit(n) - F.col("n_missing")).cast("double")).alias("mean"))
-    return calls.join(means, "variant_id").withColumn("g", F.round(F.coalesce(F.col("g").cast("double"), F.col("mean")), 9)).drop("mean")
+    return calls.join(means, "variant_id").withColumn("g", F.coalesce(F.col("g").cast("double"), F.col("mean"))).drop("mean")
 
 
 def impute_hwe(calls: DataFrame, n: int, seed: int = 1) -> DataFrame:
@@ -49,4 +49,4 @@ def recode(calls: DataFrame, n: int, least: int) -> DataFrame:
     """Carriers of least copies or more as 1 (dominant: 1, recessive: 2), missing as the mean of the coded values."""
     coded = calls.withColumn("x", F.when(F.col("g") >= least, 1).when(F.col("g").isNotNull(), 0))
     means = coded.groupBy("variant_id").agg((F.sum("x").cast("double") / (F.lit(n) - F.sum(F.when(F.col("g").isNull(), 1).otherwise(0))).cast("double")).alias("mean"))
-    return coded.join(means, "variant_id").select("variant_id", "sample_id", F.round(F.coalesce(F.col("x").cast("double"), F.col("mean")), 9).alias("x"))
+    return coded.join(means, "variant_id").select("variant_id", "sample_id", F.coalesce(F.col("x").cast("double"), F.col("mean")).alias("x"))

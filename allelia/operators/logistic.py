@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_1_sf, chi2_1_sf_sql
+from ..functions.special import chi2_1_sf, chi2_1_sf_sql, log10_chi2_1_sf_sql
 
 
 def _probability(beta, covariates: list[str]) -> Column:
@@ -69,7 +69,8 @@ def logistic_score(calls: DataFrame, samples: DataFrame, y: str, covariates: lis
         for j in range(len(names)):
             v = v - float(inverse[i, j]) * z[i] * z[j]
     out = sums.select(group, (F.col("gr") + mean * F.col("mr")).alias("u"), v.alias("v")).withColumn("t", F.when(F.col("v") > 1e-9, F.col("u") * F.col("u") / F.col("v")))
-    return out.select(group, F.round("u", 4).alias("u_stat"), F.round("v", 4).alias("v_stat"), F.round("t", 4).alias("stat"), F.round(F.when(F.col("v") > 1e-9, F.col("u") / F.col("v")), 4).alias("effect"), F.round(F.expr(chi2_1_sf_sql("t")), 4).alias("pvalue"))
+    out = out.select(group, F.col("u").alias("u_stat"), F.col("v").alias("v_stat"), F.col("t").alias("stat"), F.when(F.col("v") > 1e-9, F.col("u") / F.col("v")).alias("effect"))
+    return out.withColumns({"pvalue": F.expr(chi2_1_sf_sql("stat")), "log10p": F.expr(log10_chi2_1_sf_sql("stat"))})
 
 
 def cells(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], group: str = "variant_id") -> DataFrame:
@@ -128,7 +129,7 @@ def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str],
                     out.append((key, None, None, None))
                 else:
                     se = float(np.sqrt(fit[1][1, 1]))
-                    out.append((key, round(float(fit[0][1]), 6), round(se, 6), round(chi2_1_sf((fit[0][1] / se) ** 2), 6)))
+                    out.append((key, float(fit[0][1]), se, chi2_1_sf((fit[0][1] / se) ** 2)))
             yield pd.DataFrame(out, columns=[group, "beta", "se", "pvalue"])
 
     table = cells(calls, samples, y, covariates, group)

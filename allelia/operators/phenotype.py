@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile_sql
+from .ranks import value_ranks
 
 
 def trait_type(rows: DataFrame, column: str) -> DataFrame:
@@ -41,14 +42,15 @@ def residualise(rows: DataFrame, y: str, covariates: list[str], out: str = "resi
     return rows.withColumn(out, F.col(y) - fitted)
 
 
-def inverse_normal(rows: DataFrame, y: str, out: str = "z") -> DataFrame:
-    """Normal quantiles of (rank + 0.5) / n with 0-based ranks, ties averaged.
+def inverse_normal(rows: DataFrame, y: str, out: str = "z", small_sample: bool = False) -> DataFrame:
+    """Normal quantiles of (rank - a) / (n + 1 - 2a) with ranks from 1, ties averaged; null traits have no row.
 
-    Ranks come from the distinct values' cumulative counts, so the samples themselves are never sorted in one task."""
-    sizes = rows.groupBy(y).agg(F.count("*").alias("same"))
-    run = sizes.withColumns({"below": F.sum("same").over(Window.orderBy(y)) - F.col("same"), "n": F.sum("same").over(Window.partitionBy(F.lit(1)))})
-    run = run.withColumn("p", (F.col("below") + (F.col("same") - 1) / 2 + 0.5) / F.col("n")).withColumn(out, F.round(F.expr(normal_quantile_sql("p")), 6))
-    return rows.join(run.select(y, out), y)
+    a is 1/2, which gives (0-based rank + 1/2) / n; with small_sample it is 3/8 up to 10 values, as R's ppoints has it. Ranks
+    come from value ranges and their counts, so no task holds all values."""
+    ranks = value_ranks(rows, y)
+    a = F.when(F.col("n") <= 10, 0.375).otherwise(0.5) if small_sample else F.lit(0.5)
+    ranks = ranks.withColumn("p", (F.col("below") + (F.col("same") + 1) / 2 - a) / (F.col("n") + 1 - 2 * a))
+    return rows.join(ranks.select(y, F.expr(normal_quantile_sql("p")).alias(out)), y)
 
 
 def impute_column(rows: DataFrame, column: str) -> DataFrame:
@@ -59,14 +61,33 @@ def impute_column(rows: DataFrame, column: str) -> DataFrame:
 
 
 def covariate_check(rows: DataFrame, y: str, covariates: list[str]) -> DataFrame:
-    """(covariate, r, constant): correlation with y, and whether the covariate doesn't vary."""
+    """(covariate, r, constant, independent): correlation with y, whether the covariate doesn't vary, and whether it adds to
+    the rank of 1 and the covariates before it."""
+    _, m = moments(rows.where(F.concat(*[F.col(c).cast("string") for c in covariates]).isNotNull()), covariates)
+    # what is left of each one's square sum beside those before it, by elimination in the scaled cross-products
+    scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+    left, free = m / scale[:, None] / scale[None, :], []
+    for k in range(len(m)):
+        free.append(bool(left[k, k] > 1e-10))
+        if free[-1]:
+            left = left - np.outer(left[:, k], left[k]) / left[k, k]
     out = None
-    for c in covariates:
-        row = rows.agg(F.lit(c).alias("covariate"), F.round(F.corr(F.col(c).cast("double"), F.col(y).cast("double")), 6).alias("r"), (F.count_distinct(c) <= 1).alias("constant"))
+    for c, ok in zip(covariates, free[1:]):
+        row = rows.agg(F.lit(c).alias("covariate"), F.corr(F.col(c).cast("double"), F.col(y).cast("double")).alias("r"), (F.count_distinct(c) <= 1).alias("constant"), F.lit(ok).alias("independent"))
         out = row if out is None else out.unionAll(row)
     return out
 
 
+def with_covariates(phenotypes: DataFrame, covariates: DataFrame, key: str = "sample_id") -> DataFrame:
+    """phenotypes with the covariates' columns, inner by sample: samples that lack either are left out."""
+    return phenotypes.join(covariates, key)
+
+
+def complete_traits(samples: DataFrame, traits: list[str]) -> DataFrame:
+    """Samples that have all of several traits."""
+    return samples.where(F.concat(*[F.col(t).cast("string") for t in traits]).isNotNull())
+
+
 def unique_only(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs once: all copies of a repeated sample go."""
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("times")).where("times = 1").select(key), key, "left_semi")

@@ -11,39 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_1_sf, liu, mixture_sf
-from .association import group_sums, trait_sums
-from .linkage import pair_products
+from .association import CovariateModel
+from .linkage import group_products
 
 
-def gram(calls: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(group, a, b, c): centred cross-products g_a'g_b - s_a s_b / n of each group's variants, a <= b. Only pairs with a
-    shared carrier are joined by variant; the rest of the matrix follows from the sums."""
-    sums = calls.where("g > 0").groupBy("variant_id").agg(F.sum("g").cast("double").alias("s"))
-    m = members.join(sums, "variant_id")
-    pairs = m.select("group", F.col("variant_id").alias("a"), F.col("s").alias("sa")).join(m.select("group", F.col("variant_id").alias("b"), F.col("s").alias("sb")), "group").where("a <= b")
-    shared = pair_products(calls, pairs.select("a", "b").distinct()).select("a", "b", "sab")
-    out = pairs.join(shared, ["a", "b"], "left")
-    return out.select("group", "a", "b", (F.coalesce("sab", F.lit(0)).cast("double") - F.col("sa") * F.col("sb") / float(n)).alias("c"))
+def gram(calls: DataFrame, members: DataFrame) -> DataFrame:
+    """(group, a, b, sab): sums g_a g_b over shared carriers for each group's variants, a <= b. Carriers meet within (group,
+    sample); pairs without a shared carrier have none, and what centring and covariates take away follows from the sums."""
+    return group_products(calls, members).select("group", "a", "b", F.col("sab").cast("double").alias("sab"))
 
 
-def group_matrices(calls: DataFrame, samples: DataFrame, members: DataFrame) -> DataFrame:
-    """(group, v, s, u, c, s2, n): one row a group with its variants, allele sums, scores and flattened centred Gram matrix."""
-    n, sy, qy = trait_sums(samples)
-    s2 = (qy - sy * sy / n) / n
-    sums = group_sums(calls, samples).where("ac > 0")
-    one = members.join(sums, "variant_id").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("variant_id", F.col("ac").cast("double").alias("s"), (F.col("gy") - float(sy) * F.col("ac") / float(n)).alias("u")))).alias("one"))
-    two = gram(calls, members, n).groupBy("group").agg(F.collect_list(F.struct("a", "b", "c")).alias("two"))
-    return one.join(two, "group").withColumns({"s2": F.lit(float(s2)), "n": F.lit(float(n))})
+def group_matrices(calls: DataFrame, samples: DataFrame, members: DataFrame, covariates: list[str] | None = None, y: str = "y") -> DataFrame:
+    """(group, one, two, s2, n, inner): one row a group with its variants, allele sums, scores and g'Z, and the products of
+    its pairs; complete calls. inner is the inverse of Z'Z, flattened."""
+    null = CovariateModel(samples, covariates or [], y)
+    sums = null.sums(calls).where("s > 0")
+    one = members.join(sums, "variant_id").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("variant_id", "s", "u", "z"))).alias("one"))
+    two = gram(calls, members).groupBy("group").agg(F.collect_list(F.struct("a", "b", "sab")).alias("two"))
+    return one.join(two, "group").withColumns({"s2": F.lit(null.s2), "n": F.lit(float(null.n)), "inner": F.array(*[F.lit(float(x)) for x in null.inner.ravel()])})
 
 
 def _matrices(row):
+    """Allele sums, scores and the Gram matrix of residualised genotypes."""
     ids = [x["variant_id"] for x in row.one]
     place = {v: k for k, v in enumerate(ids)}
+    z = np.array([np.asarray(x["z"], float) for x in row.one])
+    k = z.shape[1]
     c = np.zeros((len(ids), len(ids)))
     for x in row.two:
         i, j = place.get(x["a"]), place.get(x["b"])
         if i is not None and j is not None:
-            c[i, j] = c[j, i] = x["c"]
+            c[i, j] = c[j, i] = x["sab"]
+    c -= z @ np.asarray(row.inner, float).reshape(k, k) @ z.T
     return np.array([x["s"] for x in row.one]), np.array([x["u"] for x in row.one]), c
 
 
@@ -130,8 +129,9 @@ def _vt(s, u, c, s2, n, draws: int = 20_000):
     return float(steps[best]), int(phi[best].sum()), float(stats[best]), p
 
 
-def kernel_tests(calls: DataFrame, samples: DataFrame, members: DataFrame) -> DataFrame:
-    """(group, num_var, skat_q, skat_p, skato_rho, skato_p, vt_freq, vt_num, vt_stat, vt_p) of a quantitative trait.
+def kernel_tests(calls: DataFrame, samples: DataFrame, members: DataFrame, covariates: list[str] | None = None, y: str = "y") -> DataFrame:
+    """(group, num_var, skat_log_q, skat_p, skato_rho, skato_p, vt_freq, vt_num, vt_stat, vt_p) of a quantitative trait, adjusted
+    for covariates; complete calls.
 
     Spark reduces the genotypes to each group's m scores and m * m Gram matrix; a small numpy kernel does the rest."""
 
@@ -143,11 +143,11 @@ def kernel_tests(calls: DataFrame, samples: DataFrame, members: DataFrame) -> Da
                 q, p = _skat(s, u, c, row.s2, row.n)
                 _, rho, po = _skato(s, u, c, row.s2, row.n)
                 f, k, st, pv = _vt(s, u, c, row.s2, row.n)
-                out.append((row.group, len(s), round(math.log(max(q, 1e-300)), 6), round(p, 6), rho, round(po, 6), f, k, None if st is None else round(st, 6), pv))
+                out.append((row.group, len(s), math.log(max(q, 1e-300)), p, rho, po, f, k, st, pv))
             yield pd.DataFrame(out, columns=["group", "num_var", "skat_log_q", "skat_p", "skato_rho", "skato_p", "vt_freq", "vt_num", "vt_stat", "vt_p"])
 
     schema = "group string, num_var long, skat_log_q double, skat_p double, skato_rho double, skato_p double, vt_freq double, vt_num long, vt_stat double, vt_p double"
-    return group_matrices(calls, samples, members).mapInPandas(run, schema)
+    return group_matrices(calls, samples, members, covariates, y).mapInPandas(run, schema)
 
 
 # ---- permutation -----------------------------------------------------------------------------------------------------

@@ -40,6 +40,23 @@ def size(spark: SparkSession, sf_dir: str) -> int:
     return V.read(spark, sf_dir, "customer").count()
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Operators give full doubles; what two engines are compared in is rounded here."""
+    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+def counter(spark: SparkSession, sf_dir: str, calls: DataFrame | None = None) -> DataFrame:
+    counts = C.genotype_counter(V.calls(spark, sf_dir) if calls is None else calls, size(spark, sf_dir))
+    return rounded(counts, af=9, af_called=9, maf=9, call_rate=9)
+
+
+SCORE_DIGITS = {"af": 9, "u_stat": 2, "sqrt_v": 2, "stat": 6, "effect": 4, "pvalue": 6}
+
+
+def scored(calls: DataFrame, samples: DataFrame, group: str = "variant_id") -> DataFrame:
+    return rounded(A.score(A.group_sums(calls, samples, group), *A.trait_sums(samples)), **SCORE_DIGITS).drop("log10p")
+
+
 COUNTS = """, cnt AS (SELECT variant_id, CAST(SUM(CASE WHEN g = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_het, CAST(SUM(CASE WHEN g = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_alt,
  CAST(SUM(CASE WHEN g IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, CAST(COALESCE(SUM(g), 0) AS BIGINT) AS ac FROM calls GROUP BY 1),
 freq AS (SELECT cnt.*, n - n_het - n_alt - n_missing AS n_ref, ROUND(CAST(ac AS DOUBLE) / CAST(2 * n AS DOUBLE), 9) AS af,
@@ -69,7 +86,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("geno_counter", COUNTS + "SELECT * FROM freq")
 def geno_counter(spark, sf_dir):
-    return C.genotype_counter(V.calls(spark, sf_dir), size(spark, sf_dir))
+    return counter(spark, sf_dir)
 
 
 @query("counter_by_sex_trait", """, sz AS (SELECT sex, trait, COUNT(*) AS n FROM samples GROUP BY 1, 2),
@@ -85,7 +102,7 @@ c AS (SELECT variant_id, CAST(COALESCE(SUM(g), 0) AS BIGINT) AS ac, CAST(2 * ((S
  FROM calls JOIN own USING (sample_id) GROUP BY 1)
 SELECT variant_id, ac, an, ROUND(CAST(ac + 1 AS DOUBLE) / CAST(an + 2 AS DOUBLE), 9) AS q FROM c""")
 def control_frequency(spark, sf_dir):
-    return C.control_frequency(V.calls(spark, sf_dir), V.samples(spark, sf_dir))
+    return rounded(C.control_frequency(V.calls(spark, sf_dir), V.samples(spark, sf_dir)), q=9)
 
 
 HWE = """, lf AS (SELECT k, SUM(CASE WHEN k > 0 THEN LN(k) ELSE 0 END) OVER (ORDER BY k) AS lf FROM (SELECT UNNEST(range(0, (SELECT 2 * n + 1 FROM n))) AS k)),
@@ -99,15 +116,14 @@ hwe AS (SELECT variant_id, ROUND(LEAST(SUM(CASE WHEN w <= own + 1e-9 THEN EXP(w
 
 @query("hwe_exact", COUNTS + HWE + "SELECT * FROM hwe")
 def hwe_exact(spark, sf_dir):
-    n = size(spark, sf_dir)
-    return C.hwe_exact(C.genotype_counter(V.calls(spark, sf_dir), n), 2 * n)
+    return rounded(C.hwe_exact(counter(spark, sf_dir)), hwe_p=6)
 
 
 @query("quantity_summary", """, r AS (SELECT y, ROW_NUMBER() OVER (ORDER BY y) - 1 AS i, COUNT(*) OVER () AS n FROM samples)
 SELECT MIN(y) AS minimum, MAX(CASE WHEN i = FLOOR(n * 0.25) THEN y END) AS q1, MAX(CASE WHEN i = FLOOR(n * 0.5) THEN y END) AS median,
  MAX(CASE WHEN i = FLOOR(n * 0.75) THEN y END) AS q3, MAX(y) AS maximum, ROUND(AVG(y), 4) AS mean, ROUND(VAR_SAMP(y), 2) AS variance FROM r""")
 def quantity_summary(spark, sf_dir):
-    return C.quantity_summary(V.samples(spark, sf_dir), "y")
+    return rounded(C.quantity_summary(V.samples(spark, sf_dir), "y"), mean=4, variance=2)
 
 
 # ---- filters -------------------------------------------------------------------------------------------------------
@@ -154,13 +170,13 @@ def region_filter(spark, sf_dir):
 
 @query("maf_filter", COUNTS + "SELECT variant_id, maf FROM freq WHERE maf BETWEEN 0.005 - 1e-10 AND 0.012 + 1e-10")
 def maf_filter(spark, sf_dir):
-    return C.genotype_counter(V.calls(spark, sf_dir), size(spark, sf_dir)).where(L.frequency_between(0.005, 0.012)).select("variant_id", "maf")
+    return counter(spark, sf_dir).where(L.frequency_between(0.005, 0.012)).select("variant_id", "maf")
 
 
 @query("mac_filter", COUNTS + "SELECT variant_id, ac FROM freq, n WHERE LEAST(ac, 2 * (n - n_missing) - ac) >= 25")
 def mac_filter(spark, sf_dir):
     n = size(spark, sf_dir)
-    return C.genotype_counter(V.calls(spark, sf_dir), n).where(L.minor_count_at_least(25, 2 * (F.lit(n) - F.col("n_missing")))).select("variant_id", "ac")
+    return counter(spark, sf_dir).where(L.minor_count_at_least(25, 2 * (F.lit(n) - F.col("n_missing")))).select("variant_id", "ac")
 
 
 @query("gd_gq_mask", " SELECT variant_id, sample_id, CASE WHEN gd >= 10 AND gd <= 45 AND gq >= 2 THEN g END AS g, gd, gq FROM calls")
@@ -175,9 +191,8 @@ def site_depth(spark, sf_dir):
 
 @query("site_qc", COUNTS + HWE + "SELECT freq.*, hwe_p FROM freq JOIN hwe USING (variant_id) WHERE maf >= 0.0005 AND hwe_p >= 0.01 AND call_rate >= 0.999")
 def site_qc(spark, sf_dir):
-    n = size(spark, sf_dir)
-    counts = C.genotype_counter(V.calls(spark, sf_dir), n)
-    return L.site_qc(counts, C.hwe_exact(counts, 2 * n), 0.0005, 0.01, 0.999)
+    counts = counter(spark, sf_dir)
+    return L.site_qc(counts, rounded(C.hwe_exact(counts), hwe_p=6), 0.0005, 0.01, 0.999)
 
 
 # ---- genotype cells ------------------------------------------------------------------------------------------------
@@ -224,7 +239,7 @@ def info_fields(spark, sf_dir):
 
 @query("impute_mean", COUNTS + "SELECT variant_id, sample_id, ROUND(COALESCE(CAST(g AS DOUBLE), CAST(ac AS DOUBLE) / CAST(n - n_missing AS DOUBLE)), 9) AS g, gd, gq FROM calls JOIN freq USING (variant_id), n")
 def impute_mean(spark, sf_dir):
-    return I.impute_mean(V.calls(spark, sf_dir), size(spark, sf_dir))
+    return rounded(I.impute_mean(V.calls(spark, sf_dir), size(spark, sf_dir)), g=9)
 
 
 @query("impute_hwe")
@@ -269,12 +284,12 @@ SELECT variant_id, sample_id, ROUND(COALESCE(CAST(x AS DOUBLE), mean), 9) AS x F
 
 @query("dominant_code", _recode_sql(1))
 def dominant_code(spark, sf_dir):
-    return I.recode(V.calls(spark, sf_dir), size(spark, sf_dir), 1)
+    return rounded(I.recode(V.calls(spark, sf_dir), size(spark, sf_dir), 1), x=9)
 
 
 @query("recessive_code", _recode_sql(2))
 def recessive_code(spark, sf_dir):
-    return I.recode(V.calls(spark, sf_dir), size(spark, sf_dir), 2)
+    return rounded(I.recode(V.calls(spark, sf_dir), size(spark, sf_dir), 2), x=9)
 
 
 # ---- phenotypes ----------------------------------------------------------------------------------------------------
@@ -299,7 +314,7 @@ def residual_trait(spark, sf_dir):
 @query("inverse_normal", f""", r AS (SELECT sample_id, (RANK() OVER (ORDER BY y) - 1 + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0e0 + 0.5e0) / COUNT(*) OVER () AS p FROM samples)
 SELECT sample_id, ROUND({normal_quantile_sql("p")}, 6) AS z FROM r""")
 def inverse_normal(spark, sf_dir):
-    return P.inverse_normal(V.samples(spark, sf_dir), "y").select("sample_id", "z")
+    return P.inverse_normal(V.samples(spark, sf_dir), "y").select("sample_id", F.round("z", 6).alias("z"))
 
 
 @query("impute_trait", """, x AS (SELECT sample_id, CASE WHEN sample_id % 11 <> 0 THEN y END AS y FROM samples)
@@ -311,7 +326,7 @@ def impute_trait(spark, sf_dir):
 
 @query("covariate_check", " SELECT 'c1' AS covariate, ROUND(corr(c1, y), 6) AS r, COUNT(DISTINCT c1) <= 1 AS constant FROM samples UNION ALL SELECT 'c2', ROUND(corr(c2, y), 6), COUNT(DISTINCT c2) <= 1 FROM samples")
 def covariate_check(spark, sf_dir):
-    return P.covariate_check(V.samples(spark, sf_dir), "y", ["c1", "c2"])
+    return rounded(P.covariate_check(V.samples(spark, sf_dir), "y", ["c1", "c2"]), r=6).drop("independent")
 
 
 @query("unique_samples", " SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING COUNT(*) = 1)")
@@ -324,13 +339,7 @@ def unique_samples(spark, sf_dir):
 
 @query("score_qtl", ", x AS (SELECT variant_id AS k, sample_id, g FROM calls)" + SUMS + SCORE.format(k="variant_id"))
 def score_qtl(spark, sf_dir):
-    samples = V.samples(spark, sf_dir)
-    return A.score(A.group_sums(V.calls(spark, sf_dir), samples), *A.trait_sums(samples))
-
-
-@query("score_qtl_cov")
-def score_qtl_cov(spark, sf_dir):
-    return A.score_with_covariates(V.calls(spark, sf_dir), V.samples(spark, sf_dir), ["c1", "c2"])
+    return scored(V.calls(spark, sf_dir), V.samples(spark, sf_dir))
 
 
 WALD = f""", w1 AS (SELECT *, sq - CAST(ac AS DOUBLE) * ac / n AS sxx, gy - sy * ac / n AS sxy, s2 * n AS syy FROM m),
@@ -341,7 +350,7 @@ SELECT k AS variant_id, ROUND(b, 4) AS beta, ROUND(se, 4) AS se, ROUND({chi2_1_s
 @query("wald_linear", ", x AS (SELECT variant_id AS k, sample_id, g FROM c0)" + SUMS + WALD)
 def wald_linear(spark, sf_dir):
     samples = V.samples(spark, sf_dir)
-    return A.wald_linear(A.group_sums(V.calls(spark, sf_dir, complete=True), samples), *A.trait_sums(samples))
+    return rounded(A.wald_linear(A.group_sums(V.calls(spark, sf_dir, complete=True), samples), *A.trait_sums(samples)), beta=4, se=4, pvalue=6).drop("log10p")
 
 
 def _two(per, x):
@@ -369,12 +378,12 @@ def allelic_table(spark, sf_dir):
 
 @query("fisher_allelic", BY_VARIANT + _two(2, "g") + FISHER.replace("{k}", "variant_id"))
 def fisher_allelic(spark, sf_dir):
-    return A.fisher(A.two_by_two(V.calls(spark, sf_dir), V.samples(spark, sf_dir)), 2 * size(spark, sf_dir))
+    return rounded(A.fisher(A.two_by_two(V.calls(spark, sf_dir), V.samples(spark, sf_dir))), p_two_side=6, p_less=6, p_greater=6)
 
 
 @query("fisher_dominant", BY_VARIANT + _two(1, "CASE WHEN g > 0 THEN 1 WHEN g IS NOT NULL THEN 0 END") + FISHER.replace("{k}", "variant_id"))
 def fisher_dominant(spark, sf_dir):
-    return A.fisher(A.two_by_two(V.calls(spark, sf_dir), V.samples(spark, sf_dir), carriers=True), 2 * size(spark, sf_dir))
+    return rounded(A.fisher(A.two_by_two(V.calls(spark, sf_dir), V.samples(spark, sf_dir), carriers=True)), p_two_side=6, p_less=6, p_greater=6)
 
 
 @query("single_dummy", " SELECT variant_id, COUNT(g) AS n_count, MIN(g) AS minimum, MAX(g) AS maximum FROM calls GROUP BY 1")
@@ -402,19 +411,10 @@ def multi_trait_score(spark, sf_dir):
 @query("meta_score", COUNTS + HWE + ", x AS (SELECT variant_id AS k, sample_id, g FROM calls)" + SUMS + """SELECT variant_id, af, freq.ac AS informative_alt_ac, call_rate, hwe_p, n_ref, n_het, n_alt, ROUND(u / s2, 6) AS u_scaled,
  ROUND(SQRT(w / s2), 6) AS sqrt_v_scaled, ROUND(st, 6) AS stat FROM freq JOIN hwe USING (variant_id) JOIN r ON r.k = variant_id""")
 def meta_score(spark, sf_dir):
-    n = size(spark, sf_dir)
-    calls, samples = V.calls(spark, sf_dir), V.samples(spark, sf_dir)
-    _, sy, qy = A.trait_sums(samples)
-    s2 = (float(qy) - float(sy) * float(sy) / float(n)) / float(n)
-    counts = C.genotype_counter(calls, n)
-    sums = A.group_sums(calls, samples)
-    d = lambda c: F.col(c).cast("double")
-    mean = d("ac") / (float(n) - F.col("miss"))
-    ss = d("ac") + d("miss") * mean
-    u = d("gy") + mean * d("miss_y") - float(sy) * ss / float(n)
-    w = d("sq") + d("miss") * mean * mean - ss * ss / float(n)
-    tests = sums.select("variant_id", F.round(u / s2, 6).alias("u_scaled"), F.round(F.sqrt(w / s2), 6).alias("sqrt_v_scaled"), F.round(F.when(w > 1e-9, u * u / (s2 * w)), 6).alias("stat"))
-    out = counts.join(C.hwe_exact(counts, 2 * n), "variant_id").join(tests, "variant_id")
+    samples = V.samples(spark, sf_dir)
+    out = A.meta_score(V.calls(spark, sf_dir), samples, *A.trait_sums(samples))
+    out = out.join(C.hwe_exact(out), "variant_id")
+    out = rounded(out, af=9, call_rate=9, hwe_p=6, u_scaled=6, sqrt_v_scaled=6, stat=6)
     return out.select("variant_id", "af", F.col("ac").alias("informative_alt_ac"), "call_rate", "hwe_p", "n_ref", "n_het", "n_alt", "u_scaled", "sqrt_v_scaled", "stat")
 
 
@@ -457,69 +457,76 @@ def cmc_collapse(spark, sf_dir):
 
 @query("cmc_score", CMC + SUMS + SCORE.format(k='"group"'))
 def cmc_score(spark, sf_dir):
-    samples = V.samples(spark, sf_dir)
-    x = A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "cmc")
-    return A.score(A.group_sums(x, samples, "group"), *A.trait_sums(samples))
+    return scored(A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "cmc"), V.samples(spark, sf_dir), "group")
 
 
 @query("zeggini_score", ZEG + SUMS + SCORE.format(k='"group"'))
 def zeggini_score(spark, sf_dir):
-    samples = V.samples(spark, sf_dir)
-    x = A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "zeggini")
-    return A.score(A.group_sums(x, samples, "group"), *A.trait_sums(samples))
+    return scored(A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "zeggini"), V.samples(spark, sf_dir), "group")
 
 
 @query("cmc_wald", CMC + SUMS + WALD.replace("k AS variant_id", 'k AS variant_id'))
 def cmc_wald(spark, sf_dir):
     samples = V.samples(spark, sf_dir)
     x = A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "cmc")
-    return A.wald_linear(A.group_sums(x, samples, "group").withColumnRenamed("group", "variant_id"), *A.trait_sums(samples))
+    out = A.wald_linear(A.group_sums(x, samples, "group"), *A.trait_sums(samples), group="group")
+    return rounded(out, beta=4, se=4, pvalue=6).drop("log10p").withColumnRenamed("group", "variant_id")
 
 
 @query("exact_cmc", CMC + _two(1, "CASE WHEN g > 0 THEN 1 WHEN g IS NOT NULL THEN 0 END") + FISHER.replace("{k}", '"group"'))
 def exact_cmc(spark, sf_dir):
     x = A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "cmc")
-    return A.fisher(A.two_by_two(x, V.samples(spark, sf_dir), carriers=True, group="group"), 2 * size(spark, sf_dir), "group")
+    return rounded(A.fisher(A.two_by_two(x, V.samples(spark, sf_dir), carriers=True, group="group"), "group"), p_two_side=6, p_less=6, p_greater=6)
 
 
 MB = MEMBERS + """, own AS (SELECT sample_id FROM samples WHERE trait = 1),
 q AS (SELECT variant_id, ROUND(CAST(COALESCE(SUM(g), 0) + 1 AS DOUBLE) / CAST(2 * ((SELECT COUNT(*) FROM own) - SUM(CASE WHEN g IS NULL THEN 1 ELSE 0 END)) + 2 AS DOUBLE), 9) AS q FROM calls JOIN own USING (sample_id) GROUP BY 1),
 w AS (SELECT variant_id, ROUND(1.0 / SQRT(n * q * (1 - q)), 9) AS w FROM q, n)"""
+FP = COUNTS + MEMBERS + """, w AS (SELECT variant_id, ROUND(1.0 / SQRT(af * (1 - af)), 9) AS w FROM freq WHERE af > 0 AND af < 1)"""
+#: Weights as whole multiples of 1e-9, so that both engines add integers and divide once.
+BURDEN = """SELECT grp AS "group", sample_id, CAST(SUM(g * CAST(ROUND(w * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 AS burden FROM calls JOIN members USING (variant_id) JOIN w USING (variant_id) WHERE g > 0 GROUP BY 1, 2"""
+
+
+def mb_weights(spark, sf_dir):
+    q = rounded(C.control_frequency(V.calls(spark, sf_dir), V.samples(spark, sf_dir)), q=9)
+    return rounded(A.madsen_browning_weights(q, size(spark, sf_dir)), w=9)
+
+
+def fp_weights(spark, sf_dir):
+    return rounded(A.fp_weights(counter(spark, sf_dir)), w=9)
+
+
+def burden(spark, sf_dir, w):
+    w = w.select("variant_id", F.round(F.col("w") * 1e9).cast("long").alias("w"))
+    return A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), "weighted", w).select("group", "sample_id", (F.col("g").cast("double") / 1e9).alias("g"))
 
 
 @query("mb_weight", MB + "SELECT * FROM w")
 def mb_weight(spark, sf_dir):
-    return A.madsen_browning_weights(C.control_frequency(V.calls(spark, sf_dir), V.samples(spark, sf_dir)), size(spark, sf_dir))
+    return mb_weights(spark, sf_dir)
 
 
-@query("mb_burden", MB + 'SELECT grp AS "group", sample_id, ROUND(SUM(g * w), 6) AS burden FROM calls JOIN members USING (variant_id) JOIN w USING (variant_id) WHERE g > 0 GROUP BY 1, 2')
+@query("mb_burden", MB + BURDEN)
 def mb_burden(spark, sf_dir):
-    calls = V.calls(spark, sf_dir)
-    w = A.madsen_browning_weights(C.control_frequency(calls, V.samples(spark, sf_dir)), size(spark, sf_dir))
-    return A.collapse(calls, members(spark, sf_dir), "weighted", w).select("group", "sample_id", F.round("g", 6).alias("burden"))
+    return burden(spark, sf_dir, mb_weights(spark, sf_dir)).withColumnRenamed("g", "burden")
 
 
-@query("fp_burden", COUNTS + MEMBERS + """, w AS (SELECT variant_id, ROUND(1.0 / SQRT(af * (1 - af)), 9) AS w FROM freq WHERE af > 0 AND af < 1)
-SELECT grp AS "group", sample_id, ROUND(SUM(g * w), 5) AS burden FROM calls JOIN members USING (variant_id) JOIN w USING (variant_id) WHERE g > 0 GROUP BY 1, 2""")
+@query("fp_burden", FP + BURDEN)
 def fp_burden(spark, sf_dir):
-    calls = V.calls(spark, sf_dir)
-    w = A.fp_weights(C.genotype_counter(calls, size(spark, sf_dir)))
-    return A.collapse(calls, members(spark, sf_dir), "weighted", w).select("group", "sample_id", F.round("g", 5).alias("burden"))
+    return burden(spark, sf_dir, fp_weights(spark, sf_dir)).withColumnRenamed("g", "burden")
 
 
 @query("skat_q", MEMBERS + ", x AS (SELECT variant_id AS k, sample_id, g FROM calls)" + SUMS + """, q AS (SELECT k, 25.0e0 * POW(1.0e0 - LEAST(ss / (2 * n), 1.0e0 - ss / (2 * n)), 24.0e0) AS b, u FROM z WHERE ac > 0)
 SELECT grp AS "group", COUNT(*) AS n_variants, ROUND(LN(SUM(b * b * u * u)), 6) AS log_q FROM q JOIN members ON k = variant_id GROUP BY 1""")
 def skat_q(spark, sf_dir):
-    samples = V.samples(spark, sf_dir)
-    n, sy, _ = A.trait_sums(samples)
-    out = A.skat_q(V.calls(spark, sf_dir), samples, members(spark, sf_dir), n, sy)
+    out = A.skat_q(V.calls(spark, sf_dir), V.samples(spark, sf_dir), members(spark, sf_dir))
     return out.select("group", "n_variants", F.round(F.ln("q"), 6).alias("log_q"))
 
 
 @query("cmat_stat", MEMBERS + BY_VARIANT + _two(2, "g") + """, gsum AS (SELECT grp, CAST(COUNT(*) AS DOUBLE) AS l, CAST(SUM(n11) AS DOUBLE) AS ma, CAST(SUM(n10) AS DOUBLE) AS ra, CAST(SUM(n01) AS DOUBLE) AS mu, CAST(SUM(n00) AS DOUBLE) AS ru FROM tab JOIN members ON k = variant_id GROUP BY 1)
 SELECT grp AS "group", ROUND(CAST(a + c AS DOUBLE) / (2.0e0 * a * c * l) * (ma * ru - mu * ra) * (ma * ru - mu * ra) / ((ma + mu) * (ra + ru)), 6) AS stat FROM gsum, sz""")
 def cmat_stat(spark, sf_dir):
-    return A.cmat(V.calls(spark, sf_dir), V.samples(spark, sf_dir), members(spark, sf_dir))
+    return rounded(A.cmat(V.calls(spark, sf_dir), V.samples(spark, sf_dir), members(spark, sf_dir)), stat=6)
 
 
 VT = COUNTS + MEMBERS + """, f AS (SELECT grp, variant_id, CEIL(maf * 1000000) / 1000000 AS f FROM freq JOIN members USING (variant_id) WHERE maf > 0), st AS (SELECT DISTINCT grp, f AS threshold FROM f)"""
@@ -529,8 +536,7 @@ VT = COUNTS + MEMBERS + """, f AS (SELECT grp, variant_id, CEIL(maf * 1000000) /
 SELECT grp AS "group", threshold, COUNT(*) AS carriers, CAST(SUM(y) AS BIGINT) AS sum_y FROM c JOIN st USING (grp) JOIN samples USING (sample_id) WHERE f <= threshold GROUP BY 1, 2""")
 def vt_threshold(spark, sf_dir):
     calls = V.calls(spark, sf_dir)
-    x = A.thresholds(calls, members(spark, sf_dir), C.genotype_counter(calls, size(spark, sf_dir)))
-    return x.join(V.samples(spark, sf_dir), "sample_id").groupBy("group", "threshold").agg(F.count("*").alias("carriers"), F.sum("y").alias("sum_y"))
+    return A.thresholds(calls, members(spark, sf_dir), counter(spark, sf_dir, calls), V.samples(spark, sf_dir))
 
 
 @query("vt_price", VT + """, c AS (SELECT grp, threshold, sample_id, CAST(SUM(g) AS BIGINT) AS g FROM calls JOIN f USING (variant_id) JOIN st USING (grp) WHERE g > 0 AND f <= threshold GROUP BY 1, 2, 3),
@@ -541,7 +547,7 @@ SELECT grp AS "group", FIRST(threshold ORDER BY z DESC, threshold) AS opt_freq,
 def vt_price(spark, sf_dir):
     calls, samples = V.calls(spark, sf_dir), V.samples(spark, sf_dir)
     n, sy, _ = A.trait_sums(samples)
-    return A.price(calls, samples, members(spark, sf_dir), C.genotype_counter(calls, n), n, sy)
+    return A.price(calls, samples, members(spark, sf_dir), counter(spark, sf_dir, calls), n, sy, digits=4)
 
 
 @query("kbac_patterns", MEMBERS + """, p AS (SELECT grp, sample_id, trait, string_agg(variant_id || ':' || g, ',' ORDER BY variant_id || ':' || g) AS pattern FROM calls JOIN members USING (variant_id) JOIN samples USING (sample_id) WHERE g > 0 GROUP BY 1, 2, 3)
@@ -563,7 +569,7 @@ cv AS (SELECT pr.* EXCLUDE (sab), COALESCE(sab, 0) AS sab, CAST(COALESCE(sab, 0)
 
 @query("ld_window", LD.replace("{w}", "60000") + "SELECT a, b, chrom AS a_chrom, a_pos, b_pos, sab, ROUND(cov, 9) AS cov, ROUND(CASE WHEN va < 1e-20 OR vb < 1e-20 THEN 0.0 ELSE cov / SQRT(va * vb) END, 6) AS r FROM cv")
 def ld_window(spark, sf_dir):
-    return D.covariances(V.calls(spark, sf_dir, complete=True), V.variants(spark, sf_dir), 60000, size(spark, sf_dir))
+    return rounded(D.covariances(V.calls(spark, sf_dir, complete=True), V.variants(spark, sf_dir), 60000, size(spark, sf_dir)), cov=9, r=6)
 
 
 @query("meta_cov_window", LD.replace("{w}", "60000") + """SELECT a, chrom, a_pos AS start_pos, MAX(b_pos) AS end_pos, COUNT(*) AS num_marker, string_agg(CAST(b_pos AS VARCHAR), ',' ORDER BY b_pos, b) AS marker_pos,
@@ -604,7 +610,7 @@ k AS (SELECT l.a, l.b, COALESCE(n11, 0) AS n11, CAST(COALESCE(n11, 0) AS DOUBLE)
 d AS (SELECT *, p11 - pa * pb AS d, CASE WHEN p11 - pa * pb > 0 THEN LEAST(pa * (1 - pb), (1 - pa) * pb) ELSE LEAST(pa * pb, (1 - pa) * (1 - pb)) END AS top, SQRT(pa * (1 - pa) * pb * (1 - pb)) AS sc FROM k)
 SELECT a, b, n11, ROUND(d, 9) AS d, ROUND(CASE WHEN top > 0 THEN d / top END, 6) AS d_prime, ROUND(CASE WHEN sc > 0 THEN d / sc END, 6) AS r FROM d""")
 def ld_neighbor(spark, sf_dir):
-    return D.neighbours(V.calls(spark, sf_dir, complete=True), V.variants(spark, sf_dir), size(spark, sf_dir))
+    return rounded(D.neighbours(V.calls(spark, sf_dir, complete=True), V.variants(spark, sf_dir), size(spark, sf_dir)), d=9, d_prime=6, r=6)
 
 
 # ---- kinship ---------------------------------------------------------------------------------------------------------
@@ -616,7 +622,7 @@ SHARED = ", o AS (SELECT variant_id, sample_id, g FROM c0), nv AS (SELECT COUNT(
 sh AS (SELECT x.sample_id AS i, y.sample_id AS j, SUM(LEAST(x.g, y.g)) AS m FROM o x JOIN o y ON x.variant_id = y.variant_id AND x.sample_id <= y.sample_id GROUP BY 1, 2)
 SELECT i, j, ROUND(CAST(2 * nv - (a.s + b.s - 2 * m) AS DOUBLE) / nv, 6) AS kinship FROM sh JOIN mg a ON a.sample_id = i JOIN mg b ON b.sample_id = j, nv""")
 def ibs_kinship(spark, sf_dir):
-    return K.ibs(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), V.read(spark, sf_dir, "part").count())
+    return rounded(K.ibs(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), V.read(spark, sf_dir, "part").count()), kinship=6)
 
 
 @query("bn_kinship", SHARED + """, fr AS (SELECT variant_id, CAST(SUM(g) AS DOUBLE) / (SELECT n FROM n) AS mu FROM o GROUP BY 1), fw AS (SELECT *, 1.0 / (mu * (1 - mu / 2)) AS w FROM fr WHERE mu > 0 AND mu < 2),
@@ -624,7 +630,7 @@ tot AS (SELECT COUNT(*) AS m, SUM(w * mu * mu) AS c FROM fw), x AS (SELECT varia
 sh AS (SELECT a.sample_id AS i, b.sample_id AS j, SUM(a.g * b.g * a.w) AS v FROM x a JOIN x b ON a.variant_id = b.variant_id AND a.sample_id <= b.sample_id GROUP BY 1, 2)
 SELECT i, j, ROUND((v - a.p - b.p + c) / m, 6) AS kinship FROM sh JOIN pt a ON a.sample_id = i JOIN pt b ON b.sample_id = j, tot""")
 def bn_kinship(spark, sf_dir):
-    return K.balding_nichols(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), size(spark, sf_dir))
+    return rounded(K.balding_nichols(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), size(spark, sf_dir)), kinship=6)
 
 
 @query("combine_kinship", """, p AS (SELECT c_custkey AS i, c_nationkey AS j, c_custkey % 7 / 7.0e0 AS kinship, CAST(10 AS DOUBLE) AS m FROM customer UNION ALL SELECT c_custkey, c_nationkey, c_custkey % 5 / 5.0e0, 30 FROM customer)
@@ -632,7 +638,7 @@ SELECT i, j, ROUND(SUM(kinship * m) / SUM(m), 6) AS kinship FROM p GROUP BY 1, 2
 def combine_kinship(spark, sf_dir):
     c = V.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("j"))
     parts = c.withColumns({"kinship": (F.col("i") % 7) / 7.0, "m": F.lit(10.0)}).unionAll(c.withColumns({"kinship": (F.col("i") % 5) / 5.0, "m": F.lit(30.0)}))
-    return K.combine(parts)
+    return rounded(K.combine(parts), kinship=6)
 
 
 PEOPLE = "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 >= 2 THEN c_custkey - c_custkey % 4 END AS father, CASE WHEN c_custkey % 4 >= 2 THEN c_custkey - c_custkey % 4 + 1 END AS mother, CAST(c_custkey % 2 + 1 AS INTEGER) AS sex FROM customer"
@@ -643,7 +649,7 @@ UNION ALL SELECT father, id, 0.25e0 FROM p WHERE father IS NOT NULL UNION ALL SE
 UNION ALL SELECT a.id, b.id, 0.25e0 FROM p a JOIN p b ON a.father = b.father AND a.id < b.id""")
 def pedigree_kinship(spark, sf_dir):
     V.read(spark, sf_dir, "customer").createOrReplaceTempView("customer_for_pedigree")
-    return K.pedigree(spark.sql(PEOPLE.replace("FROM customer", "FROM customer_for_pedigree")))
+    return rounded(K.pedigree(spark.sql(PEOPLE.replace("FROM customer", "FROM customer_for_pedigree"))), kinship=9)
 
 
 # ---- summaries -------------------------------------------------------------------------------------------------------
@@ -670,7 +676,7 @@ def anno_summary(spark, sf_dir):
 
 @query("maf_histogram", COUNTS + "SELECT CAST(LEAST(FLOOR(maf / 0.001), 19) AS INTEGER) AS bin, COUNT(*) AS n FROM freq GROUP BY 1")
 def maf_histogram(spark, sf_dir):
-    return S.histogram(C.genotype_counter(V.calls(spark, sf_dir), size(spark, sf_dir)), "maf", 20, 0.0, 0.02)
+    return S.histogram(counter(spark, sf_dir), "maf", 20, 0.0, 0.02)
 
 
 OTHER = """, other AS (SELECT l_partkey AS variant_id, o_custkey AS sample_id, CAST(LEAST(COUNT(*), 2) AS INTEGER) AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' GROUP BY 1, 2),
@@ -694,7 +700,7 @@ def concordance(spark, sf_dir):
  SUM(CASE WHEN standard > 0 AND standard = other THEN n ELSE 0 END) AS same, SUM(CASE WHEN standard > 0 AND other > 0 THEN n ELSE 0 END) AS bo, SUM(CASE WHEN standard > 0 THEN n ELSE 0 END) AS po FROM cell)
 SELECT CAST(a AS BIGINT) AS overlap, CAST(b AS BIGINT) AS standard_only, CAST(c AS BIGINT) AS other_only, ROUND(CAST(same AS DOUBLE) / CAST(bo AS DOUBLE), 6) AS concordance, ROUND(CAST(bo AS DOUBLE) / CAST(po AS DOUBLE), 6) AS discovery FROM k""")
 def concordance_rates(spark, sf_dir):
-    return S.concordance_rates(S.concordance(V.calls(spark, sf_dir), _other(spark, sf_dir)))
+    return rounded(S.concordance_rates(S.concordance(V.calls(spark, sf_dir), _other(spark, sf_dir))), concordance=6, discovery=6)
 
 
 @query("pair_sharing", """, o AS (SELECT variant_id, sample_id, g FROM c0) SELECT x.sample_id AS i, y.sample_id AS j, COUNT(*) FILTER (LEAST(x.g, y.g) = 1) AS p1, COUNT(*) FILTER (LEAST(x.g, y.g) = 2) AS p2
@@ -768,7 +774,7 @@ def _coded_score(least):
     def run(spark, sf_dir):
         samples = V.samples(spark, sf_dir)
         coded = V.calls(spark, sf_dir).withColumn("g", G.dominant(F.col("g")) if least == 1 else G.recessive(F.col("g")))
-        return A.score(A.group_sums(coded, samples), *A.trait_sums(samples))
+        return scored(coded, samples)
 
     return run
 
