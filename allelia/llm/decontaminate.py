@@ -151,7 +151,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = 0.8,
     match nothing; a null doc_id stays null; empty tables give an empty result. The items of a pass (per_pass at most) are
     broadcast; more items are taken by ranges of item_id, so memory stays bounded.
     """
-    X.bounded_batches(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     parts = max(1, -(-items.count() // per_pass))
     out = None

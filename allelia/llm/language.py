@@ -109,7 +109,6 @@ def train(documents: DataFrame, usable=None) -> tuple[Filter, str]:
 
     The sample is bounded: DOCS documents a language, drawn by a hash of doc_id. Rows with a null id, text or lang
     take no part; ties go to the language that sorts first."""
-    X.bounded_batches(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
     sizes = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not sizes:
@@ -120,7 +119,8 @@ def train(documents: DataFrame, usable=None) -> tuple[Filter, str]:
     counts = counts.withColumn("r", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     counts = counts.withColumn("top", F.max("r").over(Window.partitionBy("gram"))).where(F.col("r") >= SHARE * F.col("top"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= GRAMS).select("lang", "gram").toPandas()
+    with X.small_batches(documents.sparkSession):
+        rows = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= GRAMS).select("lang", "gram").toPandas()
     out = Filter([k for k, _ in sizes])
     for k, (lang, _) in enumerate(sizes):
         out.add(rows["gram"][rows["lang"] == lang].to_numpy(np.uint32), k)
@@ -132,13 +132,12 @@ def predict(documents: DataFrame, model: Filter, default: str) -> DataFrame:
 
     A text with letters but without a known n-gram gets the default language with score 0; equal counts go to the
     language that sorts first. Whole texts decide."""
-    X.bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model, default))
 
     def make(batches):
         model, default = held.value
         names = np.array([*model.langs, default], object)
-        for batch in batches:
+        for batch in X.parts(batches):
             letter = np.array(batch.column("letter").to_pylist(), bool)
             for i, j, at, data in X.slabs(batch.column("text")):
                 k, s = model.decide(at, data) if model.langs else (np.full(j - i, -1), np.zeros(j - i))

@@ -13,11 +13,12 @@ from . import text as X
 from .graph import components
 
 #: Positions of a signature, chunks, and errors that a chunk may have. Pairs that differ in at most
-#: CHUNKS * (ERRORS + 1) - 1 = 15 positions share a key for certain. At a similarity of 0.85 a chunk has over one
-#: error with probability 0.165, so that all eight have with 6e-7.
+#: CHUNKS * (ERRORS + 1) - 1 = 15 positions share a key for certain.
 POSITIONS, CHUNKS, ERRORS = 40, 8, 1
-#: Pairs with more unequal positions than this aren't verified (probability 1e-6 at a similarity of 0.85).
-FAR = 20
+#: Unequal positions up to which a pair that shares a key is verified. Of pairs at a similarity of 0.8, under one in
+#: 10^10 has more, at 0.85 under one in 10^14: far less than the index itself may miss.
+FAR = 28
+ROW = "struct<doc_id: bigint, t1: bigint, t2: bigint>"
 #: Documents that may hold a shingle for it to count as rare.
 RARE = 8
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +56,7 @@ def _sketch(batches):
     kept = masks()
     for batch in batches:
         for i, j, s, counts in row_sets(batch.column("text")):
-            ids = batch.column("doc_id").slice(i, j - i)
+            rows = batch.column("row").slice(i, j - i)
             some = np.flatnonzero(counts)
             digest = np.zeros((2, j - i), np.uint64)
             sig = np.zeros((len(some), POSITIONS), np.uint16)
@@ -76,8 +77,8 @@ def _sketch(batches):
             per = np.zeros(j - i, np.int64)
             per[some] = len(kept)
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(X.signed(digest[0])), pa.array(X.signed(digest[1])), pa.array(blobs, pa.binary()), X.arrow_lists(X.signed(keys.ravel()), per, pa.int64())],
-                names=["doc_id", "n_shingles", "lo", "hi", "sig", "keys"],
+                [rows, pa.array(counts, pa.int64()), pa.array(X.signed(digest[0])), pa.array(X.signed(digest[1])), pa.array(blobs, pa.binary()), X.arrow_lists(X.signed(keys.ravel()), per, pa.int64())],
+                names=["row", "n_shingles", "lo", "hi", "sig", "keys"],
             )
 
 
@@ -86,7 +87,7 @@ def _sets(batches):
         for i, j, s, counts in row_sets(batch.column("text")):
             ends = np.cumsum(counts)
             blobs = [s[e - c : e].tobytes() for e, c in zip(ends, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
 
 def _shingles(batches):
@@ -98,7 +99,7 @@ def _shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "s"])
 
 
-def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: int, table) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, from members rest(key, id, g, n) of open buckets.
 
     Shingles are ordered by how many of these documents hold them. A linked pair whose first shingle in common is in at
@@ -108,20 +109,20 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """
     size_ok = lambda n, m: 100 * F.least(n, m) >= threshold * F.greatest(n, m)
     docs = rest.select("id", "g", "n").distinct()
-    held = X.table(sets.join(docs.select("id"), "id", "left_semi").mapInArrow(_shingles, "id long, s long"), "shingles")
-    often = held.groupBy("s").agg(F.count("*").alias("f"))
+    held = table(sets.join(docs.select("id"), "id", "left_semi").mapInArrow(_shingles, "id long, s long"), "shingles")
+    often = table(held.groupBy("s").agg(F.count("*").alias("f")), "often")
     held = held.join(often, "s")
     many = held.groupBy("id").agg(F.sum(F.when(F.col("f") > 1, 1).otherwise(0)).alias("n_shared"), F.sum(F.when(F.col("f") > RARE, 1).otherwise(0)).alias("c"))
-    docs = X.table(docs.join(many, "id").where(100 * F.col("n_shared") >= threshold * F.col("n")), "bounded")
+    docs = table(docs.join(many, "id").where(100 * F.col("n_shared") >= threshold * F.col("n")), "bounded")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
     first = held.join(docs.select("id", "g", "n"), "id").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1) & F.col("f").between(2, RARE))
-    first = X.table(first.select("s", "id", "g", "n"), "rare")
+    first = table(first.select("s", "id", "g", "n"), "rare")
     other = first.select("s", F.col("id").alias("b"), F.col("g").alias("h"), F.col("n").alias("m"))
     rare = first.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("g") != F.col("h")) & size_ok(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b")
     left = rest.select("key", "id").join(docs, "id")
     least = left.groupBy("key").agg(F.min("n").alias("m0"))
     left = left.join(least, "key").where(100 * F.col("c") >= threshold * (F.col("n") + F.greatest("m0", "c") - F.col("c")))
-    left = X.table(left.select("key", "id", "g", "n", "c"), "frequent")
+    left = table(left.select("key", "id", "g", "n", "c"), "frequent")
     right = left.select("key", F.col("id").alias("b"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("c").alias("d"))
     most = F.least("c", "d")
     by_key = left.join(right, (left.key == right.key) & (left.id < right.b) & (left.g != right.h) & (100 * most >= threshold * (F.col("n") + F.col("m") - most)))
@@ -155,55 +156,98 @@ def _apart(x: str, y: str):
     return F.expr(f"{POSITIONS} - aggregate(sequence(0, {POSITIONS - 1}), 0, (n, i) -> n + if(substring({x}, 2 * i + 1, 2) = substring({y}, 2 * i + 1, 2), 1, 0))")
 
 
-def near_groups(documents: DataFrame, threshold: int = 85) -> DataFrame:
+def near_rows(documents: DataFrame, threshold: int = 85, far: int | None = FAR) -> DataFrame:
+    """(row, n_shingles, component_id, first) of documents(doc_id, text), one row per row: its text.row_key(), its set's size,
+    its group's smallest doc_id, and whether it is its group's least row_key(); the last two are null for rows that are
+    linked with nothing as they lack words or an id.
+
+    Texts of equal sets are one class, known by its least row. Classes' 16-bit minhash signatures are split into chunks;
+    a key is a chunk without ERRORS of its positions, so that equal keys mean at most as many errors. Each bucket's
+    members are first verified against its best connected member only; then, in buckets that still hold several
+    components, against those members of other components that rare shingles or counts of the frequent ones leave
+    open. So a group of thousands of copies costs a star, and no pair of different components goes unchecked.
+
+    What the index can miss: a pair at the limit whose eight chunks all have two errors or more, with probability 6e-7 at
+    a similarity of 0.85 and 2.3e-5 at 0.8, less above. Pairs with over far unequal positions aren't verified; None
+    verifies all. What joins by a bucket's, shingle's or group's key has its other side written first, so that Spark can
+    split a hot key's rows among tasks.
+    """
+    spark = documents.sparkSession
+    docs = documents.select(X.row_key().alias("row"), "text")
+    with X.passing_tables(spark) as table:
+        sketch = table(docs.mapInArrow(_sketch, f"row {ROW}, n_shingles long, lo long, hi long, sig binary, keys array<long>"), "sketch")
+        full = sketch.where("n_shingles > 0 AND row.doc_id IS NOT NULL")
+        classes = table(full.groupBy("lo", "hi", "n_shingles").agg(F.min("row").alias("first")), "classes").withColumn("id", F.col("first.doc_id"))
+        repeated = full.groupBy("row.doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
+        if repeated:  # different texts under one id: these classes are known by a hash
+            shared_ids = table(classes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id", F.lit(True).alias("again")), "shared_ids")
+            other = F.xxhash64("lo", "hi").bitwiseOR(F.lit(-(1 << 63)))
+            classes = table(classes.join(shared_ids, "id", "left").withColumn("id", F.when(F.col("again"), other).otherwise(F.col("id"))).drop("again"), "classes")
+        reps = full.select("row", "sig", "keys").join(classes.select(F.col("first").alias("row"), "id", F.col("n_shingles").alias("n")), "row")
+        reps = reps.dropDuplicates(["id"]) if repeated else reps
+        member = reps.select("id", F.explode("keys").alias("key"))
+        shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "c")
+        member = table(member.join(table(shared, "shared"), "key"), "members")
+        facts = table(reps.join(member.select("id").distinct(), "id", "left_semi").select("id", "n", "sig", "row"), "facts")
+        wanted = facts.select("id", "row")
+        texts = docs.join(F.broadcast(wanted) if facts.count() <= X.BROADCAST_KEYS else wanted, "row").select("id", "text")
+        sets = texts.mapInArrow(_sets, "id long, shingles binary")
+        sets = table(sets.dropDuplicates(["id"]) if repeated else sets, "sets")
+        support = member.groupBy("id").agg(F.sum("c").alias("s"))
+        lead = table(member.join(support, "id").groupBy("key").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("lead")), "lead")
+
+        def near(pairs):
+            for x in "ab":
+                pairs = pairs.join(facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}")), x)
+            pairs = pairs.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+            return (pairs if far is None else pairs.where(_apart("ga", "gb") <= far)).select("a", "b")
+
+        stars = member.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        stars = table(stars.distinct(), "pairs")
+        edges = table(verified(near(stars), sets, threshold), "stars")
+        now = table(components(edges), "components")
+        placed = member.join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+        open_ = placed.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("key")
+        rest = table(placed.join(open_, "key").join(facts.select("id", "n"), "id"), "open")
+        pairs = _rare_pairs(rest, sets, threshold, table)
+        cross = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+        more = table(verified(near(cross), sets, threshold), "cross")
+        if more.limit(1).count():  # the components found so far are stars, too
+            now = table(components(now.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+        named = classes.join(now, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if repeated:
+            leads = table(named.groupBy("component").agg(F.min("first").alias("least")), "leads")
+            named = named.join(leads, "component").select("lo", "hi", F.col("least.doc_id").alias("component_id"), "least")
+            first = F.col("row") == F.col("least")
+        else:  # the label is the smallest id
+            named = named.select("lo", "hi", F.col("component").alias("component_id"))
+            first = F.col("row.doc_id") == F.col("component_id")
+        out = full.join(table(named, "named"), ["lo", "hi"]).select("row", "n_shingles", "component_id", first.alias("first"))
+        alone = sketch.where("n_shingles = 0 OR row.doc_id IS NULL").select("row", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("boolean").alias("first"))
+        return X.table(out.unionAll(alone), "near")
+
+
+def near_groups(documents: DataFrame, threshold: int = 85, far: int | None = FAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents(doc_id, text), one row per row.
 
     Words are lower-cased (A-Z). A text's set holds its distinct 5-word shingles, with fewer words its whole sequence;
     texts that are null or have no word have an empty set and are linked with nothing. Texts with a similarity of
-    threshold hundredths or more are linked; component_id is the smallest doc_id reachable. A null doc_id keeps a null
-    component and is kept. Rows that repeat a doc_id are each placed by their own text. An empty table gives an empty result.
-
-    Texts of equal sets are one class, known by a representative. Representatives' 16-bit minhash signatures are split
-    into chunks; a key is a chunk without ERRORS of its positions, so that equal keys mean at most as many errors. Each
-    bucket's members are first verified against its best connected member only; then, in buckets that still hold
-    several components, against those members of other components that rare shingles or counts of the frequent ones leave
-    open. So a group of thousands of copies costs a star, and no
-    pair of different components goes unchecked.
+    threshold hundredths or more are linked (near_rows says how, and what it can miss); component_id is the smallest
+    doc_id reachable. A null doc_id keeps a null component and is kept. Rows that repeat a doc_id are each placed by
+    their own text, and different texts under one id are linked by their texts alone. An empty table gives an empty result.
     """
-    X.bounded_batches(documents.sparkSession)
-    docs = documents.select("doc_id", "text")
-    sketch = X.table(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, lo long, hi long, sig binary, keys array<long>"), "sketch")
-    full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = X.table(full.groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    reps = full.join(classes, (full.doc_id == classes.id) & (full.lo == classes.lo) & (full.hi == classes.hi), "left_semi").dropDuplicates(["doc_id", "lo", "hi"])
-    member = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "c")
-    member = X.table(member.join(shared, "key"), "members")
-    facts = X.table(reps.join(member.select("id").distinct(), reps.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "facts")
-    texts = X.only(docs, facts.select(F.col("id").alias("doc_id")))
-    sets = X.table(texts.mapInArrow(_sets, "id long, shingles binary"), "sets")
-    support = member.groupBy("id").agg(F.sum("c").alias("s"))
-    lead = member.join(support, "id").groupBy("key").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("lead"))
-    near = lambda pairs: (
-        pairs.join(facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
-        .join(facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
-        .where((100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (_apart("ga", "gb") <= FAR))
-        .select("a", "b")
-    )
-    stars = member.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    edges = X.table(verified(near(stars), sets, threshold), "stars")
-    now = X.table(components(edges), "components")
-    placed = member.join(now, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-    open_ = placed.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("key")
-    rest = X.table(placed.join(open_, "key").join(facts.select("id", "n"), "id"), "open")
-    pairs = _rare_pairs(rest, sets, threshold)
-    cross = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = X.table(verified(near(cross), sets, threshold), "cross")
-    final = X.table(components(edges.unionAll(more)), "components")
-    named = classes.join(final, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("c"))
-    out = sketch.join(named, ["lo", "hi"], "left")
-    own = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    own, group = F.col("row.doc_id"), F.coalesce("component_id", "row.doc_id")
+    return near_rows(documents, threshold, far).select(own.alias("doc_id"), "n_shingles", group.alias("component_id"), F.coalesce(own == group, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, threshold: int = 80, far: int | None = FAR) -> DataFrame:
+    """documents with one row of each group of near-duplicates: that with the smallest doc_id, of texts under this id
+    that with the least hash, of identical rows (same id and text) any one. Rows go by id and text together, so a text
+    whose id another row has too is judged by itself. Rows without words or without an id all stay."""
+    rows = near_rows(documents, threshold, far)
+    twice = X.table(rows.where("first").groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select("row"), "twice")
+    left = X.without(documents, rows.where("NOT first"))
+    return X.once(left, twice) if twice.limit(1).count() else left
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,6 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = 2048, en
     these pieces, under 12,000 whatever the input, are packed together by first fit. Rows that repeat are each packed;
     an empty table gives an empty result; with_ids keeps the pieces' ids (little-endian unsigned 32-bit).
     """
-    X.bounded_batches(documents.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     pieces = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path or default_path(), capacity, end_id, with_ids), schema)
     pieces = X.table(pieces if with_ids else pieces.drop("ids"), "pieces")

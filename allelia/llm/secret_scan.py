@@ -121,10 +121,10 @@ def train(documents: DataFrame) -> np.ndarray | None:
     Labelled samples come from documents(doc_id, text) themselves: values of base matches are random strings, other
     runs of the alphabet ordinary ones. At most about SAMPLE documents, drawn by a hash of doc_id, are read. None where
     either label has no sample: then no span is added."""
-    X.bounded_batches(documents.sparkSession)
     n = documents.count()
     some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))) if n > SAMPLE else documents
-    rows = some.select("text").mapInArrow(_samples, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
+    with X.small_batches(documents.sparkSession):
+        rows = some.select("text").mapInArrow(_samples, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, STATES, STATES))
     for r in rows:  # at most 2 * STATES**2 rows
         counts[r.label].flat[r.pair] = r.n
@@ -154,12 +154,11 @@ def scan(documents: DataFrame, table: np.ndarray | None) -> DataFrame:
 
     Patterns match leftmost and without overlap per kind; the Markov models add runs of the alphabet that overlap no
     base span. Repeated rows are each scanned; an empty table gives an empty result."""
-    X.bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(table)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def make(batches):
-        for batch in batches:
+        for batch in X.parts(batches):
             for i, j, at, data in X.slabs(batch.column("text")):
                 found = find(at, data, held.value)
                 rows = [[{"start": s, "end": e, "kind": k} for s, e, k in found.get(r, ())] for r in range(j - i)]
@@ -169,12 +168,14 @@ def scan(documents: DataFrame, table: np.ndarray | None) -> DataFrame:
 
 
 def redact(documents: DataFrame, table: np.ndarray | None, mark: str = "[SECRET]") -> DataFrame:
-    """documents with every span of text replaced by mark and all other columns as they are; n_chars follows the text."""
-    X.bounded_batches(documents.sparkSession)
+    """documents with every span of text replaced by mark and all other columns as they are; n_chars follows the text.
+
+    Null text stays null; empty texts, repeated rows and rows without an id are each judged by their text; an empty table
+    gives an empty result."""
     held = documents.sparkSession.sparkContext.broadcast(table)
 
     def make(batches):
-        for batch in batches:
+        for batch in X.parts(batches):
             texts = batch.column("text").to_pylist()
             for i, _, at, data in X.slabs(batch.column("text")):
                 for r, spans in find(at, data, held.value).items():

@@ -101,7 +101,6 @@ def duplicate_runs(documents: DataFrame) -> DataFrame:
     documents has (id, text), id without nulls. A run is the context of an anchor (all windows around it) or a single
     window; every window that repeats an earlier one lies in some run.
     """
-    X.bounded_batches(documents.sparkSession)
     docs = documents.select("id", "text")
     repeated = docs.mapInArrow(_anchors(False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     places = docs.mapInArrow(_anchors(True), "anchor long, context long, id long, at int")

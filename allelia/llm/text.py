@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 3 << 18
@@ -171,15 +172,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
+#: Rows of an Arrow batch at most while a table is written: texts are long, and a batch is held by the JVM and by Python at once.
 BATCH_ROWS = 512
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let the session's Arrow batches have BATCH_ROWS rows at most."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Within the block, the session's Arrow batches have so many rows at most; after it, what they had before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    old = spark.conf.get(key)
+    if 0 < int(old) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -192,24 +201,69 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: the lineage is cut and lost executors lose nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    return _written(df, scratch(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids that are broadcast at most.
-BROADCAST_IDS = 200_000
+@contextmanager
+def passing_tables(spark: SparkSession):
+    """Gives a function like table() whose tables are deleted when the block ends: what leaves the block is written
+    before that, and refers to none of them."""
+    made: list[str] = []
+
+    def make(df: DataFrame, name: str) -> DataFrame:
+        made.append(scratch(spark, name))
+        return _written(df, made[-1])
+
+    try:
+        yield make
+    finally:
+        for path in made:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_ROWS at most."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
+
+
+#: Rows' keys that are broadcast at most.
+BROADCAST_KEYS = 200_000
+_ROW = "__row"
+
+
+def row_key() -> Column:
+    """A row of documents by its doc_id and 128 bits of hash of its text: rows that share or lack an id stay apart, only
+    rows with the same id (or none) and the same text are one. As a struct, a null id equals a null id."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+
+
+def _joined(documents: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    few = keys.count() <= BROADCAST_KEYS
+    keys = keys.select(F.col("row").alias(_ROW))
+    return documents.withColumn(_ROW, row_key()).join(F.broadcast(keys) if few else keys, _ROW, how)
+
+
+def only(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of documents whose row_key() is in keys(row), a written table. Texts are shuffled only for more than
+    BROADCAST_KEYS keys."""
+    return _joined(documents, keys, "left_semi").drop(_ROW)
 
 
-def only(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id is in ids(doc_id). Texts are shuffled only for more than BROADCAST_IDS ids."""
-    few = ids.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(documents.columns)
+def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of documents whose row_key() isn't in keys(row). Texts are shuffled only for more than BROADCAST_KEYS keys."""
+    return _joined(documents, table(keys.select("row").distinct(), "keys"), "left_anti").drop(_ROW)
 
 
-def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of documents whose doc_id isn't in ids(doc_id); null ids stay. Texts are shuffled only for more than
-    BROADCAST_IDS ids."""
-    ids = table(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(documents.columns)
+def once(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """documents with one row for each row_key() in keys(row), a written table of distinct keys; other rows all stay."""
+    some = _joined(documents, keys, "left_semi").dropDuplicates([_ROW])
+    return _joined(documents, keys, "left_anti").unionByName(some).drop(_ROW)

@@ -22,7 +22,6 @@ def _counts(path: str):
 
 def histogram(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(n_tokens, n_docs) over documents(text): rows by exact encoded length without special tokens; null text has 0."""
-    X.bounded_batches(documents.sparkSession)
     lengths = documents.select("text").mapInArrow(_counts(path or default_path()), "n_tokens long")
     return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 

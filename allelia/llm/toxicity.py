@@ -144,7 +144,6 @@ def train(documents: DataFrame, labels: DataFrame, usable=None) -> Model:
     documents differ by APART standard deviations, so that long texts don't add up noise. Null labels and null ids take no part; without a toxic example every
     score is 0.
     """
-    X.bounded_batches(documents.sparkSession)
     usable = F.lit(True) if usable is None else usable
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", "toxic")
     count = known.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
@@ -161,16 +160,16 @@ def train(documents: DataFrame, labels: DataFrame, usable=None) -> Model:
     tally = sample.mapInArrow(_tally, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     share = F.col("n") / (p + u)
     apart = F.abs(F.col("t") / p - (F.col("n") - F.col("t")) / u) >= APART * F.sqrt(share * (1 - share) * (1 / p + 1 / u))
-    chosen = tally.where((F.col("n") >= min(LEAST_DOCS, p)) & (share < 1) & apart).select("h").toPandas()
-    names = np.sort(chosen["h"].to_numpy(np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_held(names), "toxic int, places binary").collect()
+    with X.small_batches(documents.sparkSession):
+        chosen = tally.where((F.col("n") >= min(LEAST_DOCS, p)) & (share < 1) & apart).select("h").toPandas()
+        names = np.sort(chosen["h"].to_numpy(np.int64).view(np.uint64))
+        rows = sample.mapInArrow(_held(names), "toxic int, places binary").collect()
     sets = [(r.toxic, np.frombuffer(r.places, np.int32)) for r in rows]
     return fit(names, [x for t, x in sets if t], [x for t, x in sets if not t], prior)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents(doc_id, text) with score (0 to 1) and predicted (1 from 0.5 on); null or empty text has the bias alone."""
-    X.bounded_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):
@@ -183,12 +182,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of documents, whole, that score below 0.5."""
-    X.bounded_batches(documents.sparkSession)
+    """The rows of documents, whole, that score below 0.5. Null and empty texts score as the bias does, under 0.5 unless most
+    unlabelled text is toxic; repeated rows and rows without an id are each judged by their text."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):
-        for batch in batches:
+        for batch in X.parts(batches):
             good = [held.value.scores(at, data) < 0.5 for _, _, at, data in X.slabs(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
