@@ -15,6 +15,7 @@ from . import text as X
 WINDOW, ANCHOR = 20, 6
 ROLL = WINDOW - ANCHOR + 1
 NO_ID = -(1 << 63)
+RUNS = "array<struct<start: int, words: int, source: long, source_start: int>>"
 
 
 def _rolling(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -58,8 +59,12 @@ class Anchors:
         return X.mix((sums[b] - sums[a]) * np.cumprod(back)[a] + (p - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (b - p).astype(np.uint64) * np.uint64(0xC13FA9A902A6328F))
 
 
-def _ids(batch, i, j):
-    return batch.column("id").slice(i, j - i).to_numpy(zero_copy_only=False)
+#: A row: its doc_id (NO_ID for null) and, where others share or lack it too, 128 bits of hash of its text.
+KEY = ["id", "t1", "t2"]
+
+
+def _keys(batch, i: int, j: int, row: np.ndarray) -> list[pa.Array]:
+    return [pa.array(batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False)[row]) for c in KEY]
 
 
 def _anchors(with_context: bool):
@@ -71,8 +76,8 @@ def _anchors(with_context: bool):
                     continue
                 out = [pa.array(X.signed(x.anchor[x.chosen]))]
                 if with_context:
-                    out += [pa.array(X.signed(x.contexts())), pa.array(_ids(batch, i, j)[x.row[x.chosen]]), pa.array((x.chosen - x.begin[x.chosen]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(out, names=["anchor", "context", "id", "at"][: len(out)])
+                    out += [pa.array(X.signed(x.contexts())), *_keys(batch, i, j, x.row[x.chosen]), pa.array((x.chosen - x.begin[x.chosen]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, names=["anchor", "context", *KEY, "at"][: len(out)])
 
     return make
 
@@ -92,33 +97,50 @@ def _windows(batches):
             if len(start):
                 one = X.runs(x.h, WINDOW)[start]
                 two = X.runs(X.mix(x.h ^ np.uint64(0x2545F4914F6CDD1D)), WINDOW)[start]
-                yield pa.RecordBatch.from_arrays([pa.array(X.signed(one)), pa.array(X.signed(two)), pa.array(_ids(batch, i, j)[x.row[start]]), pa.array((start - x.begin[start]).astype(np.int32))], names=["one", "two", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(one)), pa.array(X.signed(two)), *_keys(batch, i, j, x.row[start]), pa.array((start - x.begin[start]).astype(np.int32))], names=["one", "two", *KEY, "at"])
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text) with KEY. Only for ids that repeat (a written table, broadcast while small) or are null are
+    texts hashed: elsewhere the id is enough."""
+    ids = documents.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("c")).where("c > 1")
+    ids = X.table(ids.select("id", F.lit(True).alias("again")), "shared_ids")
+    many = ids.count()
+    docs = documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    docs = docs.join(F.broadcast(ids) if many <= X.BROADCAST_KEYS else ids, "id", "left") if many else docs.withColumn("again", F.lit(False))
+    again = F.coalesce("again", F.lit(False)) | F.col("doc_id").isNull()
+    return docs.select("doc_id", "text", "id", *[F.when(again, F.xxhash64(F.lit(k), "text")).otherwise(F.lit(0).cast("long")).alias(f"t{k}") for k in (1, 2)])
 
 
 def duplicate_runs(documents: DataFrame) -> DataFrame:
-    """(id, start, words, source, source_start): runs of WINDOW words or more that start earlier in the corpus.
+    """(id, t1, t2, runs) of documents(text, id, t1, t2), see keyed(): each row's runs (start, words, source, source_start)
+    of WINDOW words or more that start earlier in the corpus, source being an id.
 
-    documents has (id, text), id without nulls. A run is the context of an anchor (all windows around it) or a single
-    window; every window that repeats an earlier one lies in some run.
+    A run is the context of an anchor (all windows around it) or a single window; every window that repeats an earlier one
+    lies in some run. Of each join by an anchor, a context or a window, the side with one row a key is written first, so
+    that Spark can split the rows of a very common one among tasks.
     """
-    docs = documents.select("id", "text")
-    repeated = docs.mapInArrow(_anchors(False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    places = docs.mapInArrow(_anchors(True), "anchor long, context long, id long, at int")
-    places = X.table(places.join(repeated.hint("merge"), "anchor"), "anchors")
-    first = X.table(places.groupBy("anchor", "context").agg(F.min(F.struct("id", "at")).alias("source"), F.count("*").alias("n")), "index")
-    mixed = first.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x <> y").select("anchor", F.lit(True).alias("mixed"))
-    tagged = places.join(first.where("n > 1").select("anchor", "context", "source"), ["anchor", "context"], "left")
-    here = F.struct("id", "at")
-    again = tagged.where(F.col("source").isNotNull() & (F.col("source") != here))
-    # the context may be cut by its document's start: the run begins at most ROLL - 1 words before the anchor
-    back = F.least("at", F.lit(ROLL - 1))
-    by_anchor = again.select("id", (F.col("at") - back).alias("start"), (back + WINDOW).alias("words"), F.col("source.id").alias("source"), (F.col("source.at") - back).alias("source_start"))
-    open_ = first.join(mixed, "anchor").groupBy("source.id").agg(F.array_sort(F.collect_set("source.at")).alias("places"))
-    windows = X.table(docs.join(open_, "id").mapInArrow(_windows, "one long, two long, id long, at int"), "windows")
-    index = windows.groupBy("one", "two").agg(F.min(F.struct("id", "at")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_window = windows.join(index, ["one", "two"]).where(F.col("source") != here)
-    by_window = by_window.select("id", F.col("at").alias("start"), F.lit(WINDOW).alias("words"), F.col("source.id").alias("source"), F.col("source.at").alias("source_start"))
-    return by_anchor.unionAll(by_window)
+    docs = documents.select("text", *KEY)
+    kinds = "id long, t1 long, t2 long, at int"
+    with X.passing_tables(documents.sparkSession) as table:
+        repeated = table(docs.mapInArrow(_anchors(False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
+        places = docs.mapInArrow(_anchors(True), f"anchor long, context long, {kinds}")
+        places = table(places.join(repeated.hint("merge"), "anchor"), "anchors")
+        here = F.struct(*KEY, "at")
+        first = table(places.groupBy("anchor", "context").agg(F.min(here).alias("source"), F.count("*").alias("n")), "index")
+        mixed = first.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x <> y").select("anchor")
+        tagged = places.join(first.where("n > 1").select("anchor", "context", "source"), ["anchor", "context"])
+        again = tagged.where(F.col("source") != here)
+        # the context may be cut by its document's start: the run begins at most ROLL - 1 words before the anchor
+        back = F.least("at", F.lit(ROLL - 1))
+        by_anchor = again.select(*KEY, (F.col("at") - back).alias("start"), (back + WINDOW).alias("words"), F.col("source.id").alias("source"), (F.col("source.at") - back).alias("source_start"))
+        open_ = first.join(table(mixed, "mixed"), "anchor").select("source.*").groupBy(*KEY).agg(F.array_sort(F.collect_set("at")).alias("places"))
+        windows = table(docs.join(table(open_, "open"), KEY).mapInArrow(_windows, f"one long, two long, {kinds}"), "windows")
+        index = table(windows.groupBy("one", "two").agg(F.min(here).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n"), "window_index")
+        by_window = windows.join(index, ["one", "two"]).where(F.col("source") != here)
+        by_window = by_window.select(*KEY, F.col("at").alias("start"), F.lit(WINDOW).alias("words"), F.col("source.id").alias("source"), F.col("source.at").alias("source_start"))
+        runs = by_anchor.unionAll(by_window).groupBy(*KEY)
+        return X.table(runs.agg(F.collect_set(F.struct("start", "words", "source", "source_start")).cast(RUNS).alias("runs")), "runs")
 
 
 def greedy(runs: list[tuple[int, int, int, int]], total: int) -> list[tuple[int, int, int, int]]:
@@ -149,18 +171,14 @@ def greedy(runs: list[tuple[int, int, int, int]], total: int) -> list[tuple[int,
     return out
 
 
-RUNS = "array<struct<start: int, words: int, source: long, source_start: int>>"
-
-
 def factored(documents: DataFrame, function, schema: str) -> DataFrame:
     """function over batches of (doc_id, text, runs) of every row of documents(doc_id, text)."""
-    docs = documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    runs = duplicate_runs(docs).groupBy("id").agg(F.collect_list(F.struct("start", "words", "source", "source_start")).cast(RUNS).alias("runs"))
-    return docs.join(runs, "id", "left").select("doc_id", "text", "runs").mapInArrow(function, schema)
+    docs = keyed(documents)
+    return docs.join(duplicate_runs(docs), KEY, "left").select("doc_id", "text", "runs").mapInArrow(function, schema)
 
 
 def _factors(batches):
-    for batch in batches:
+    for batch in X.parts(batches):
         docs, runs = batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist()
         rows = []
         for i, j, at, data in X.slabs(batch.column("text")):
@@ -179,15 +197,17 @@ def factors(documents: DataFrame) -> DataFrame:
     are chosen by content alone, so equal windows choose equal anchors. Every document is factored against all blocks by
     joins: an anchor whose whole context starts earlier gives a run at once; only at places where runs end, where an
     anchor occurs in several contexts, are single windows looked up, by 128 bits of hash. Earlier means a smaller
-    doc_id, or the same and an earlier start. Null text has no words, a null doc_id sorts first (source null, too); rows
-    that repeat a doc_id are the same document; under WINDOW words nothing repeats; an empty table gives an empty result.
+    doc_id, or the same and an earlier start. Null text has no words; a null doc_id sorts first (source null, too). Different
+    texts under one id, or without an id, are different documents, in the order of a hash of their texts; identical rows
+    (same id or none, and same text) are one document, whose factors each of them gets. Under WINDOW words nothing
+    repeats; an empty table gives an empty result.
     """
     out = factored(documents, _factors, "doc_id long, start long, words long, source_doc long, source_start long")
     return out.withColumn("source_doc", F.when(F.col("source_doc") != NO_ID, F.col("source_doc")))
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in X.parts(batches):
         runs = batch.column("runs").to_pylist()
         many, gone, sha = [], [], []
         for i, j, at, data in X.slabs(batch.column("text")):
