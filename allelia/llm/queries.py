@@ -18,4 +18,5 @@ ORACLES: dict[str, str] = {
     "op3_warc_chain": warc.OP3_SQL,
     "op5_minhash_near_dedup": near_dedup.OP5_SQL,
     "op7_relative_lz_dedup": substring_dedup.OP7_SQL,
+    "op9_simhash_decontamination": decontaminate.OP9_SQL,
 }
