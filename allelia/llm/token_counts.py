@@ -13,9 +13,8 @@ from .tokens import default_path, encoder
 def _counts(path: str):
     def make(batches):
         enc = encoder(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                yield pa.RecordBatch.from_arrays([pa.array([enc.count(t or "") for t in batch.column("text").slice(i, 256).to_pylist()], pa.int64())], names=["n_tokens"])
+        for part in X.parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(enc.ids(t)) for t in part.column("text").to_pylist()], pa.int64())], names=["n_tokens"])
 
     return make
 

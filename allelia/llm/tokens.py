@@ -1,4 +1,4 @@
-"""Exact token ids of whole texts, with a bounded memory of words seen."""
+"""Exact token ids of whole texts."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import os
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Words whose ids a worker keeps; later words are encoded each time.
-WORDS_KEPT = 100_000
 
 
 def default_path() -> str:
@@ -19,29 +17,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Words(dict):
-    def __init__(self, encode, value):
-        self.encode, self.value = encode, value
-
-    def __missing__(self, word):
-        if not word or word != word.strip():  # white space beside the cut: the cut isn't safe
-            raise KeyError(word)
-        found = self.value(self.encode(" " + word))
-        if len(self) < WORDS_KEPT:
-            self[word] = found
-        return found
-
-
 class Encoder:
     """Ids as the tokenizer of a byte-level BPE JSON file gives them with add_special_tokens=False.
 
-    A single space between two characters that aren't white space always starts a pre-token there, so a text can be cut
-    before it and the parts encoded on their own. Ranks beside the JSON (same name, .tiktoken) encode such parts faster;
-    a text that holds a special token's string, or any text where there are no ranks, goes to the tokenizer itself.
+    Ranks beside the JSON (same name, .tiktoken) give the same ids faster; a text that holds a special token's string, or
+    any text where there are no ranks, goes to the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        self.path, self.tokenizer = path, None
+        self.path, self.tokenizer, self.plain = path, None, None
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
         ranks = path.removesuffix(".json") + ".tiktoken"
@@ -52,47 +36,17 @@ class Encoder:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-            self.bytes_of = _Words(self.plain, lambda ids: np.array(ids, "<u4").tobytes())
-            self.count_of = _Words(self.plain, len)
-        else:
-            self.plain = None
 
-    def slow(self, text: str) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
+        """Little-endian unsigned 32-bit ids; null counts as empty."""
+        text = text or ""
+        if self.plain is not None and not any(x in text for x in self.special):
+            return np.array(self.plain(text), "<u4")
         if self.tokenizer is None:  # most workers never need it
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _parts(self, text: str):
-        if self.plain is None or any(x in text for x in self.special):
-            return None
-        first, *rest = text.split(" ")
-        return (first, rest) if first == first.rstrip() else ()
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        parts = self._parts(text)
-        if parts is None:
-            return np.array(self.slow(text), "<u4").tobytes()
-        if parts:
-            try:
-                rest = b"".join(map(self.bytes_of.__getitem__, parts[1]))
-                return (np.array(self.plain(parts[0]), "<u4").tobytes() if parts[0] else b"") + rest
-            except KeyError:
-                pass
-        return np.array(self.plain(text), "<u4").tobytes()
-
-    def count(self, text: str) -> int:
-        parts = self._parts(text)
-        if parts is None:
-            return len(self.slow(text))
-        if parts:
-            try:
-                return sum(map(self.count_of.__getitem__, parts[1])) + (len(self.plain(parts[0])) if parts[0] else 0)
-            except KeyError:
-                pass
-        return len(self.plain(text))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
