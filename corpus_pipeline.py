@@ -8,19 +8,21 @@ from allelia.llm import decontaminate, near_dedup, packing, secret_scan, text, t
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled model rejects go; it learns from labels of the rows that op10 learns from."""
+    """Documents that the positive-unlabelled model rejects go; it learns from labels of the rows that op10 learns from. Null
+    and empty texts score as the model's bias and stay; rows that share or lack an id are each judged by their text."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity.held_out())
     return toxicity.without_toxic(docs, model)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id. Null ids stay."""
-    return text.without(docs, near_dedup.near_groups(docs).where("NOT kept"))
+    """One document of each group of near-duplicates stays, at a similarity of 0.8 or more: that with the smallest doc_id, of
+    identical rows any one. Rows without words or without an id stay; a text is judged by itself, whatever shares its id."""
+    return near_dedup.without_near_duplicates(docs, threshold=80)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. Null ids stay."""
-    return text.without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents that hold a benchmark item go, each judged by its own text, with an id or without. Null texts stay."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of each document in the packed sequences."""
+    """A row per piece of each document in the packed sequences; null and empty texts have a piece with the end id alone."""
     return packing.pack(docs)
 
 
