@@ -120,6 +120,32 @@ def meta_score(calls: DataFrame, samples: DataFrame, n: int, sy: float, qy: floa
     return _tails(out, "stat").drop("u", "w", "sq", "gy", "miss_y")
 
 
+def meta_score_binary(calls: DataFrame, samples: DataFrame) -> DataFrame:
+    """(variant_id, n_ref, n_het, n_alt, informative_alt_ac, u_stat, sqrt_v, stat, pvalue, log10p) of a trait with controls 1 and
+    cases 2: counts as all:case:control, U and V of the logistic score test with an intercept, from one aggregation."""
+    sizes = {r.trait: r.n for r in samples.groupBy("trait").agg(F.count("*").alias("n")).collect()}  # one row a trait value
+    n2, n1 = sizes.get(2, 0), sizes.get(1, 0)
+    n = n1 + n2
+    rows = calls.join(samples.where("trait IN (1, 2)").select("sample_id", "trait"), "sample_id")
+    own = lambda c, t: F.sum(F.when(c & (F.col("trait") == t), 1).otherwise(0))
+    g = F.col("g")
+    sums = rows.groupBy("variant_id").agg(*[own(c, t).alias(f"{k}{t}") for k, c in (("h", g == 1), ("k", g == 2), ("m", g.isNull())) for t in (1, 2)])
+    c = F.col
+    for k in "hkm":
+        sums = sums.withColumn(k, c(f"{k}1") + c(f"{k}2"))
+    for t in ("", "1", "2"):
+        sums = sums.withColumns({f"ac{t}": c(f"h{t}") + 2 * c(f"k{t}"), f"r{t}": F.lit({"": n, "1": n1, "2": n2}[t]) - c(f"h{t}") - c(f"k{t}") - c(f"m{t}")})
+    p = n2 / n if n else 0.0
+    mean = c("ac").cast("double") / (float(n) - c("m"))
+    s = c("ac") + mean * c("m")
+    u = c("ac2") + mean * c("m2") - p * s
+    v = p * (1 - p) * (c("h") + 4 * c("k") + c("m") * mean * mean - s * s / float(n))
+    text = lambda k: F.concat_ws(":", *[c(f"{k}{t}").cast("string") for t in ("", "2", "1")])
+    out = sums.select("variant_id", text("r").alias("n_ref"), text("h").alias("n_het"), text("k").alias("n_alt"), text("ac").alias("informative_alt_ac"), u.alias("u_stat"), v.alias("v_"))
+    out = out.withColumns({"sqrt_v": F.sqrt(F.greatest("v_", F.lit(0.0))), "stat": F.when(c("v_") > 1e-9, c("u_stat") * c("u_stat") / c("v_"))})
+    return _tails(out.drop("v_"), "stat")
+
+
 def meta_score_with_covariates(calls: DataFrame, samples: DataFrame, covariates: list[str], y: str = "y") -> DataFrame:
     """(variant_id, u_scaled, sqrt_v_scaled, stat, effect, pvalue, log10p): U and the root of V over the trait's variance, as
     meta-analysis takes them."""

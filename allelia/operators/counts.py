@@ -55,6 +55,21 @@ def control_frequency(calls: DataFrame, samples: DataFrame, control: int = 1) ->
     return counts.select("variant_id", "ac", an.alias("an"), ((F.col("ac") + 1).cast("double") / (an + 2).cast("double")).alias("q"))
 
 
+def smoothed_frequency(calls: DataFrame, n: int) -> DataFrame:
+    """(variant_id, q): (ac + 1) / (an + 2) among all called samples, for weights without a phenotype."""
+    counts = calls.groupBy("variant_id").agg(*tally())
+    return counts.select("variant_id", ((F.col("ac") + 1).cast("double") / (2 * (F.lit(n) - F.col("n_missing")) + 2).cast("double")).alias("q"))
+
+
+def extremes(counts: DataFrame, n: int) -> DataFrame:
+    """(variant_id, n_count, minimum, maximum) of the called genotypes of counts over n samples, hom-ref ones included."""
+    has = [F.col(c) > 0 for c in ("n_ref", "n_het", "n_alt")]
+    return counts.select(
+        "variant_id", (F.lit(n) - F.col("n_missing")).alias("n_count"),
+        F.when(has[0], 0).when(has[1], 1).when(has[2], 2).alias("minimum"), F.when(has[2], 2).when(has[1], 1).when(has[0], 0).alias("maximum"),
+    )
+
+
 def hwe_p(n_ref: np.ndarray, n_het: np.ndarray, n_alt: np.ndarray) -> np.ndarray:
     """Exact Hardy-Weinberg p of genotype counts: the share of the heterozygote counts that are at most as likely as the one
     seen. Terms are ratios of factorials relative to the largest, so none over- or underflows."""

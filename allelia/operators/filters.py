@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import genotypes as G
+
 
 def include_samples(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of listed samples (ids(sample_id))."""
@@ -61,14 +63,45 @@ def minor_count_at_least(k: int, an: Column) -> Column:
     return F.least(F.col("ac"), an - F.col("ac")) >= k
 
 
-def in_regions(positions: list[tuple[int, int]]) -> Column:
-    """pos lies in one of the closed intervals, such as pseudo-autosomal regions."""
+def in_regions(regions: list[tuple]) -> Column:
+    """The site lies in one of the closed intervals (chrom, beg, end), or (beg, end) on any chromosome."""
     out = F.lit(False)
-    for beg, end in positions:
-        out = out | F.col("pos").between(beg, end)
+    for *chrom, beg, end in regions:
+        own = F.col("pos").between(beg, end)
+        out = out | (own if not chrom else own & (G.chop_chr(F.col("chrom").cast("string")) == str(chrom[0])))
     return out
 
 
+#: The pseudo-autosomal regions of X in the common build, and the names of X.
+PAR = [(60_001, 2_699_520), (154_931_044, 155_270_560)]
+X_NAMES = ("X", "23")
+
+
+def on_x(names: tuple = X_NAMES) -> Column:
+    return G.chop_chr(F.col("chrom").cast("string")).isin(*map(str, names))
+
+
+def x_par(par: list[tuple[int, int]] = PAR, names: tuple = X_NAMES) -> Column:
+    """Pseudo-autosomal sites of X."""
+    return on_x(names) & in_regions(par)
+
+
+def x_hemizygous(par: list[tuple[int, int]] = PAR, names: tuple = X_NAMES) -> Column:
+    """Sites of X outside its pseudo-autosomal regions, where males have one copy."""
+    return on_x(names) & ~in_regions(par)
+
+
+def info_depth_between(low: int, high: int) -> Column:
+    """DP of INFO within bounds; a site without it is rejected."""
+    return F.coalesce(G.info_value(F.col("info"), "DP").try_cast("int").between(low, high), F.lit(False))
+
+
+def info_frequency_between(low: float, high: float) -> Column:
+    """AF of INFO, folded to the minor allele's, within bounds; a site without it is rejected."""
+    af = G.info_value(F.col("info"), "AF").try_cast("double")
+    return F.coalesce(F.least(af, 1 - af).between(low, high), F.lit(False))
+
+
 def mask_genotypes(calls: DataFrame, least_gd: int = 0, most_gd: int | None = None, least_gq: int = 0) -> DataFrame:
     """Calls whose depth or quality is out of bounds become missing; an absent depth or quality counts as 0."""
     gd, gq = F.coalesce("gd", F.lit(0)), F.coalesce("gq", F.lit(0))

@@ -33,6 +33,35 @@ def male_hemizygous(gt: Column) -> Column:
     return F.when(gt.isin("0", "0/0", "0|0"), 0).when(gt.isin("1", "1/1", "1|1"), 2).cast("int")
 
 
+def male_binary(gt: Column) -> Column:
+    """male_hemizygous as 0 or 1: presence on the one copy."""
+    return (male_hemizygous(gt) / 2).cast("int")
+
+
+def male_count_of(gt: Column, k: int) -> Column:
+    """Twice the copies of allele k on a male's one copy: a haploid call, or a diploid one of two equal alleles."""
+    same = gt.rlike(r"^([0-9]+)([/|]\1)?$")
+    return F.when(same, F.when(F.regexp_extract(gt, "^([0-9]+)", 1) == str(k), 2).otherwise(0)).cast("int")
+
+
+def biallelic_collapse(a: Column, b: Column, hemizygous_male: Column) -> Column:
+    """Alternative alleles of two allele numbers, all alternatives alike; where a male is hemizygous two different alleles are
+    missing and equal ones count as 0 or 2."""
+    x, y = F.when(a > 0, 1).when(a == 0, 0), F.when(b > 0, 1).when(b == 0, 0)
+    return F.when(~(hemizygous_male & (x != y)), x + y).cast("int")
+
+
+def dosage_field(cell: Column, form: Column, hemizygous_male: Column, tag: str = "DS") -> Column:
+    """The dosage of a cell, doubled for hemizygous males; null if absent or not a number."""
+    d = field(cell, form, tag).try_cast("double")
+    return F.when(hemizygous_male, 2 * d).otherwise(d)
+
+
+def same_annotation(a: Column, b: Column) -> Column:
+    """Either begins with the other."""
+    return F.startswith(a, b) | F.startswith(b, a)
+
+
 def is_phased(gt: Column) -> Column:
     return F.contains(gt, F.lit("|"))
 

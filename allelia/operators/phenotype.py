@@ -83,6 +83,16 @@ def with_covariates(phenotypes: DataFrame, covariates: DataFrame, key: str = "sa
     return phenotypes.join(covariates, key)
 
 
+def with_sex(samples: DataFrame, sex: DataFrame) -> DataFrame:
+    """samples with sex by sample_id; 0 where it is unknown or null."""
+    return samples.join(sex.select("sample_id", "sex"), "sample_id", "left").withColumn("sex", F.when(F.col("sex").isin(1, 2), F.col("sex")).otherwise(0))
+
+
+def sex_covariate(samples: DataFrame) -> DataFrame:
+    """Samples of known sex, which can be a covariate then."""
+    return samples.where(F.col("sex").isin(1, 2))
+
+
 def complete_traits(samples: DataFrame, traits: list[str]) -> DataFrame:
     """Samples that have all of several traits."""
     return samples.where(F.concat(*[F.col(t).cast("string") for t in traits]).isNotNull())

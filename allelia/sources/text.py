@@ -13,36 +13,45 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     sites: variant_id (a hash of chrom, pos, ref and alt), chrom, pos, id, ref, alt, qual, filter, info; calls: variant_id,
     sample, gt, gd, gq, g, sparse: hom-ref cells are left out, missing ones kept. FORMAT is resolved on every row by exact
-    tag. The header gives the sample names; it is one line, found by a filter that the scan applies."""
-    lines = spark.read.text(path)
-    head = lines.where(F.startswith("value", F.lit("#CHROM"))).first()
-    names = head.value.rstrip("\r").split("\t")[9:]
+    tag. Each file's own header gives its sample names, as rows (file, place, sample) that its cells are joined with. Where
+    only one file has a header it is that of all, as for the parts of one written set; else a file without one is an
+    error, and so are repeated names."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.where(F.startswith("value", F.lit("#CHROM"))).select("file", F.slice(F.split(F.regexp_replace("value", r"\s+$", ""), "\t"), 10, 1 << 30).alias("names"))
+    odd = heads.where(F.size(F.array_distinct("names")) < F.size("names")).first()
+    if odd:
+        raise ValueError(f"sample names repeat in {odd.file}")
     cut = F.split(F.rtrim(F.regexp_replace("value", "\r$", "")), "\t")
-    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).select(cut.alias("f"))
+    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).select("file", cut.alias("f"))
+    key = ["place"] if heads.count() == 1 else ["file", "place"]
+    bare = rows.select("file").distinct().join(heads, "file", "left_anti").first() if len(key) > 1 else None
+    if bare:
+        raise ValueError(f"no header in {bare.file}")
+    names = heads.select("file", F.posexplode("names").alias("place", "sample"))
     at = lambda k: F.col("f")[k]
     site = rows.select(
         F.xxhash64(at(0), at(1), at(3), at(4)).alias("variant_id"), G.chop_chr(at(0)).alias("chrom"), at(1).cast("long").alias("pos"), at(2).alias("id"), at(3).alias("ref"), at(4).alias("alt"),
-        F.expr("try_cast(f[5] as double)").alias("qual"), at(6).alias("filter"), at(7).alias("info"), at(8).alias("form"), F.slice("f", 10, len(names)).alias("cells"),
+        F.expr("try_cast(f[5] as double)").alias("qual"), at(6).alias("filter"), at(7).alias("info"), at(8).alias("form"), F.slice("f", 10, 1 << 30).alias("cells"), "file",
     )
-    sites = site.drop("form", "cells")
-    if len(set(names)) < len(names):
-        raise ValueError("sample names repeat")
-    labels = F.array(*[F.lit(n) for n in names])
-    long = site.select("variant_id", "form", F.explode(F.arrays_zip(labels.alias("sample"), F.col("cells").alias("cell"))).alias("c")).select("variant_id", F.col("c.sample").alias("sample"), F.col("c.cell").alias("cell"), "form")
+    sites = site.drop("form", "cells", "file")
+    long = site.select("variant_id", "file", "form", F.posexplode("cells").alias("place", "cell"))
     number = lambda tag: F.coalesce(G.field(F.col("cell"), F.col("form"), tag).try_cast("int"), F.lit(0))
-    calls = long.select("variant_id", "sample", G.field(F.col("cell"), F.col("form"), "GT").alias("gt"), number("GD").alias("gd"), number("GQ").alias("gq"))
-    calls = calls.withColumn("g", G.alt_count(F.col("gt"))).where(F.col("g").isNull() | (F.col("g") > 0))
-    return sites, calls
+    calls = long.select("variant_id", "file", "place", G.field(F.col("cell"), F.col("form"), "GT").alias("gt"), number("GD").alias("gd"), number("GQ").alias("gq"))
+    # hom-ref cells go before the names are joined
+    calls = calls.withColumn("g", G.alt_count(F.col("gt"))).where(F.col("g").isNull() | (F.col("g") > 0)).join(names if len(key) > 1 else names.drop("file"), key)
+    return sites, calls.select("variant_id", "sample", "gt", "gd", "gq", "g")
 
 
 def vcf_lines(sites: DataFrame, calls: DataFrame, samples: list[str]) -> DataFrame:
     """(chrom, pos, line) of VCF data lines: GT:GD:GQ for carriers and missing calls, 0/0 for absent pairs."""
     cell = F.concat_ws(":", F.when(F.col("g").isNull(), "./.").when(F.col("g") == 1, "0/1").otherwise("1/1"), F.col("gd").cast("string"), F.col("gq").cast("string"))
     maps = calls.groupBy("variant_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample"), cell))).alias("m"))
-    rows = sites.join(maps, "variant_id", "left")
-    cells = [F.coalesce(F.try_element_at("m", F.lit(s)), F.lit("0/0:0:0")) for s in samples]
+    # one row with all names, so that the plan doesn't grow with the samples
+    order = sites.sparkSession.createDataFrame([(samples,)], "names array<string>")
+    rows = sites.join(maps, "variant_id", "left").join(F.broadcast(order))
+    cells = F.array_join(F.transform("names", lambda s: F.coalesce(F.try_element_at("m", s), F.lit("0/0:0:0"))), "\t")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    return rows.select("chrom", "pos", F.concat_ws("\t", *[text(c) for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")], F.lit("GT:GD:GQ"), *cells).alias("line"))
+    return rows.select("chrom", "pos", F.concat_ws("\t", *[text(c) for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")], F.lit("GT:GD:GQ"), cells).alias("line"))
 
 
 def write_vcf(sites: DataFrame, calls: DataFrame, samples: list[str], path: str) -> None:

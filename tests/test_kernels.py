@@ -180,3 +180,27 @@ def test_mixed_models(spark, sf_dir, cohort):
     want = np.linalg.solve(z @ z.T / 200 + np.eye(n), y - y.mean())
     got = np.array([r.x for r in M.infinitesimal_solve(calls, samples, "y", 200, 1.0).orderBy("sample_id").collect()])
     assert np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+
+
+def test_small_p_values_and_real_traits(spark):
+    """p far below the smallest rounded value, and sums of traits and dosages that aren't integers."""
+
+
+    rng = np.random.default_rng(21)
+    n = 4000
+    g = rng.choice([0.0, 0.4, 1.0, 1.7], n, p=[0.7, 0.1, 0.1, 0.1])
+    y = 2 * g + rng.normal(size=n) / 3
+    samples = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "sample_id long, y double")
+    calls = spark.createDataFrame([(1, i, float(g[i])) for i in range(n) if g[i]], "variant_id long, sample_id long, g double")
+    sums = A.group_sums(calls, samples)
+    first = sums.first()
+    assert first.ac == pytest.approx(g.sum()) and first.sq == pytest.approx((g * g).sum()) and first.gy == pytest.approx((g * y).sum())
+    row = A.score(sums, *A.trait_sums(samples)).first()
+    c = g - g.mean()
+    want = (c @ y) ** 2 / (y.var() * (c @ c))
+    assert row.stat == pytest.approx(want) and row.effect == pytest.approx(c @ y / (c @ c))
+    # log10 of erfc by its asymptotic series
+    x = math.sqrt(want / 2)
+    tail = (-x * x - math.log(x * math.sqrt(math.pi)) + math.log1p(-1 / (2 * x * x) + 3 / (4 * x**4))) / math.log(10)
+    assert want > 1500 and row.log10p < -300 and row.log10p == pytest.approx(tail, abs=1e-4)
+    assert samples.select(F.sum("y")).first()[0] == pytest.approx(A.trait_sums(samples)[1])

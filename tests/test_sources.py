@@ -35,6 +35,18 @@ def test_vcf(spark, tmp_path):
     assert tuple(row) == ("7", "exon")
 
 
+def test_vcf_headers_by_file(spark, tmp_path):
+    """Files with different samples under one path keep their own names."""
+    (tmp_path / "a.vcf").write_text(VCF)
+    (tmp_path / "b.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tY\tZ\n3\t5\t.\tA\tC\t.\t.\t.\tGT\t0/1\t1/1\n")
+    sites, calls = text.read_vcf(spark, str(tmp_path))
+    rows = calls.join(sites.select("variant_id", "pos"), "variant_id").where("pos IN (5, 10)").collect()
+    assert {(r.pos, r["sample"], r.g) for r in rows} == {(5, "Y", 1), (5, "Z", 2), (10, "B", 1), (10, "C", 2), (10, "D", None)}
+    (tmp_path / "c.vcf").write_text("3\t6\t.\tA\tC\t.\t.\t.\tGT\t0/1\t1/1\n")
+    with pytest.raises(ValueError, match="no header"):
+        text.read_vcf(spark, str(tmp_path))
+
+
 def test_plink_round_trip(spark, sf_dir, tmp_path):
     g = np.array([0, 1, 2, -9, 2, 1, 0], np.int8)
     assert (plink.unpack(plink.pack(g), 7) == g).all()
