@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.special import chi2_1_sf, liu, mixture_sf
 from .association import CovariateModel
 from .linkage import group_products
+from .mixed import family_sums
 
 
 def gram(calls: DataFrame, members: DataFrame) -> DataFrame:
@@ -129,25 +130,46 @@ def _vt(s, u, c, s2, n, draws: int = 20_000):
     return float(steps[best]), int(phi[best].sum()), float(stats[best]), p
 
 
+def _kernel_run(batches):
+    for frame in batches:
+        out = []
+        for row in frame.itertuples():
+            s, u, c = _matrices(row)
+            q, p = _skat(s, u, c, row.s2, row.n)
+            _, rho, po = _skato(s, u, c, row.s2, row.n)
+            f, k, st, pv = _vt(s, u, c, row.s2, row.n)
+            out.append((row.group, len(s), math.log(max(q, 1e-300)), p, rho, po, f, k, st, pv))
+        yield pd.DataFrame(out, columns=["group", "num_var", "skat_log_q", "skat_p", "skato_rho", "skato_p", "vt_freq", "vt_num", "vt_stat", "vt_p"])
+
+
+KERNEL = "group string, num_var long, skat_log_q double, skat_p double, skato_rho double, skato_p double, vt_freq double, vt_num long, vt_stat double, vt_p double"
+
+
 def kernel_tests(calls: DataFrame, samples: DataFrame, members: DataFrame, covariates: list[str] | None = None, y: str = "y") -> DataFrame:
     """(group, num_var, skat_log_q, skat_p, skato_rho, skato_p, vt_freq, vt_num, vt_stat, vt_p) of a quantitative trait, adjusted
     for covariates; complete calls.
 
     Spark reduces the genotypes to each group's m scores and m * m Gram matrix; a small numpy kernel does the rest."""
-
-    def run(batches):
-        for frame in batches:
-            out = []
-            for row in frame.itertuples():
-                s, u, c = _matrices(row)
-                q, p = _skat(s, u, c, row.s2, row.n)
-                _, rho, po = _skato(s, u, c, row.s2, row.n)
-                f, k, st, pv = _vt(s, u, c, row.s2, row.n)
-                out.append((row.group, len(s), math.log(max(q, 1e-300)), p, rho, po, f, k, st, pv))
-            yield pd.DataFrame(out, columns=["group", "num_var", "skat_log_q", "skat_p", "skato_rho", "skato_p", "vt_freq", "vt_num", "vt_stat", "vt_p"])
-
-    schema = "group string, num_var long, skat_log_q double, skat_p double, skato_rho double, skato_p double, vt_freq double, vt_num long, vt_stat double, vt_p double"
-    return group_matrices(calls, samples, members, covariates, y).mapInPandas(run, schema)
+    return group_matrices(calls, samples, members, covariates, y).mapInPandas(_kernel_run, KERNEL)
+
+
+def family_kernel_tests(calls: DataFrame, samples: DataFrame, members: DataFrame, y: str = "y", rho: float = 0.5, delta: float | None = None) -> DataFrame:
+    """kernel_tests under the family model: scores and Gram matrices with V^-1 instead of the residual variance.
+
+    Products under V^-1 are those over shared carriers less, family by family, c times the product of the variants' sums;
+    both meet within the group, by sample and by family."""
+    sums, size, tot, a, sigma2 = family_sums(calls, samples, y, rho, "variant_id", delta)
+    u = (F.col("gvr") - F.col("ac") / float(tot.n) * float(tot.ro)) / sigma2
+    one = members.join(sums.where("ac > 0"), "variant_id").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("variant_id", F.col("ac").alias("s"), u.alias("u"), F.array("gvo").alias("z")))).alias("one"))
+    own = calls.where("g > 0").join(samples.select("sample_id", "fid"), "sample_id").groupBy("variant_id", "fid").agg(F.sum("g").cast("double").alias("s"))
+    own = own.join(size.select("fid", "c"), "fid").join(members, "variant_id")
+    left = own.select("group", "fid", "c", F.col("variant_id").alias("a"), F.col("s").alias("sa"))
+    right = own.select("group", "fid", F.col("variant_id").alias("b"), F.col("s").alias("sb"))
+    within = left.join(right, ["group", "fid"]).where("a <= b").select("group", "a", "b", (-F.col("c") * F.col("sa") * F.col("sb")).alias("sab"))
+    pairs = gram(calls, members).unionByName(within).groupBy("group", "a", "b").agg((F.sum("sab") / a).alias("sab"))
+    two = pairs.groupBy("group").agg(F.collect_list(F.struct("a", "b", "sab")).alias("two"))
+    rows = one.join(two, "group").withColumns({"s2": F.lit(1.0 / sigma2), "n": F.lit(float(tot.n)), "inner": F.array(F.lit(1.0 / float(tot.one)))})
+    return rows.mapInPandas(_kernel_run, KERNEL)
 
 
 # ---- permutation -----------------------------------------------------------------------------------------------------

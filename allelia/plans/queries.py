@@ -258,11 +258,11 @@ def polymorphic(spark, sf_dir):
     return I.polymorphic(V.calls(spark, sf_dir).groupBy("variant_id").agg(*C.tally()), size(spark, sf_dir))
 
 
-@query("flip_minor", """, x AS (SELECT variant_id, sample_id, 2 - g AS g FROM calls WHERE sample_id % 2 = 0), m AS (SELECT COUNT(*) AS n FROM samples WHERE sample_id % 2 = 0),
+@query("flip_minor", """, x AS (SELECT variant_id, sample_id, 2 - g AS g FROM calls),
 c AS (SELECT variant_id, CAST(SUM(g) AS BIGINT) AS s, CAST(SUM(g * g) AS BIGINT) AS q, CAST(COUNT(g) AS BIGINT) AS k FROM x GROUP BY 1 HAVING COUNT(g) > 0)
 SELECT variant_id, s > k AS flipped, CASE WHEN s > k THEN 2 * k - s ELSE s END AS minor, CASE WHEN s > k THEN 4 * k - 4 * s + q ELSE q END AS minor_sq FROM c""")
 def flip_minor(spark, sf_dir):
-    rows = V.calls(spark, sf_dir).where("sample_id % 2 = 0 AND g IS NOT NULL").withColumn("g", 2 - F.col("g"))
+    rows = V.calls(spark, sf_dir).where("g IS NOT NULL").withColumn("g", 2 - F.col("g"))
     counts = rows.groupBy("variant_id").agg(*C.tally(), F.count("*").alias("k"))
     # each variant's own callers are its samples here
     s, q, m = F.col("ac"), F.col("n_het") + 4 * F.col("n_alt"), F.col("k")
@@ -587,13 +587,11 @@ def ld_anchor(spark, sf_dir):
     return D.pair_products(V.calls(spark, sf_dir, complete=True), v.withColumnRenamed("variant_id", "b").join(F.broadcast(anchors)))
 
 
-@query("ld_gene", MEMBERS + """, p AS (SELECT x.variant_id AS a, y.variant_id AS b FROM members x JOIN members y ON x.grp = y.grp AND x.variant_id <= y.variant_id WHERE x.grp LIKE '%1')
+@query("ld_gene", MEMBERS + """, p AS (SELECT x.variant_id AS a, y.variant_id AS b FROM members x JOIN members y ON x.grp = y.grp AND x.variant_id <= y.variant_id)
 SELECT a, b, CAST(SUM(x.g * y.g) AS BIGINT) AS sab, COUNT(*) FILTER (x.g = 1 AND y.g = 1) AS n11, COUNT(*) FILTER (x.g = 1 AND y.g = 2) AS n12, COUNT(*) FILTER (x.g = 2 AND y.g = 1) AS n21, COUNT(*) FILTER (x.g = 2 AND y.g = 2) AS n22
 FROM p JOIN c0 x ON x.variant_id = a JOIN c0 y ON y.variant_id = b AND x.sample_id = y.sample_id GROUP BY 1, 2""")
 def ld_gene(spark, sf_dir):
-    m = members(spark, sf_dir).where("group LIKE '%1'")
-    pairs = m.withColumnRenamed("variant_id", "a").join(m.withColumnRenamed("variant_id", "b"), "group").where("a <= b").select("a", "b")
-    return D.pair_products(V.calls(spark, sf_dir, complete=True), pairs)
+    return D.group_products(V.calls(spark, sf_dir, complete=True), members(spark, sf_dir)).drop("group")
 
 
 @query("ld_gene_full", MEMBERS + """, p AS (SELECT x.grp, x.variant_id AS a, y.variant_id AS b FROM members x JOIN members y ON x.grp = y.grp AND x.variant_id <= y.variant_id)
@@ -715,9 +713,9 @@ def wide_genotypes(spark, sf_dir):
     return S.wide(V.calls(spark, sf_dir), V.variants(spark, sf_dir), [1, 5, 8])
 
 
-@query("id_sets", " SELECT c_nationkey AS id, 'both' AS side FROM (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0 INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT c_nationkey, 'left' FROM (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0 EXCEPT SELECT s_nationkey FROM supplier)")
+@query("id_sets", " SELECT c_nationkey AS id, 'both' AS side FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT c_nationkey, 'left' FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
 def id_sets(spark, sf_dir):
-    a = V.read(spark, sf_dir, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("id"))
+    a = V.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"))
     b = V.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"))
     return a.intersect(b).withColumn("side", F.lit("both")).unionAll(a.exceptAll(b).distinct().join(b, "id", "left_anti").withColumn("side", F.lit("left")))
 

@@ -184,8 +184,6 @@ def test_mixed_models(spark, sf_dir, cohort):
 
 def test_small_p_values_and_real_traits(spark):
     """p far below the smallest rounded value, and sums of traits and dosages that aren't integers."""
-
-
     rng = np.random.default_rng(21)
     n = 4000
     g = rng.choice([0.0, 0.4, 1.0, 1.7], n, p=[0.7, 0.1, 0.1, 0.1])
@@ -204,3 +202,37 @@ def test_small_p_values_and_real_traits(spark):
     tail = (-x * x - math.log(x * math.sqrt(math.pi)) + math.log1p(-1 / (2 * x * x) + 3 / (4 * x**4))) / math.log(10)
     assert want > 1500 and row.log10p < -300 and row.log10p == pytest.approx(tail, abs=1e-4)
     assert samples.select(F.sum("y")).first()[0] == pytest.approx(A.trait_sums(samples)[1])
+
+
+def test_adjusted_and_family_kernels(spark):
+    """Scores and matrices of a group with covariates, and under the family model, against dense algebra."""
+    rng = np.random.default_rng(31)
+    n, m = 120, 6
+    g = rng.binomial(2, 0.08, (n, m)).astype(float)
+    c1, fam = rng.normal(size=n), rng.integers(0, 30, n)
+    y = rng.normal(size=n) + 0.5 * c1 + 0.4 * g[:, 0]
+    samples = spark.createDataFrame([(i, float(y[i]), float(c1[i]), f"f{fam[i]}") for i in range(n)], "sample_id long, y double, c1 double, fid string")
+    calls = spark.createDataFrame([(j, i, int(g[i, j])) for i in range(n) for j in range(m) if g[i, j]], "variant_id long, sample_id long, g int")
+    members = spark.createDataFrame([("x", j) for j in range(m)], "group string, variant_id long")
+    w = 25 * (1 - np.minimum(g.mean(0) / 2, 1 - g.mean(0) / 2)) ** 24
+    z = np.column_stack([np.ones(n), c1])
+    proj = np.eye(n) - z @ np.linalg.inv(z.T @ z) @ z.T
+    r = proj @ y
+    row = T.kernel_tests(calls, samples, members, ["c1"]).first()
+    u, k = w * (g.T @ r), (r @ r / n) * w[:, None] * (g.T @ proj @ g) * w
+    assert row.skat_log_q == pytest.approx(math.log((u @ u)))
+    assert row.skat_p == pytest.approx(mixture_sf(float(u @ u), np.linalg.eigvalsh(k)), abs=1e-6)
+    delta = 0.7
+    v = np.where(fam[:, None] == fam[None, :], 0.5, 0.0) + np.eye(n) * (0.5 + delta)
+    inv, one = np.linalg.inv(v), np.ones(n)
+    p = inv - np.outer(inv @ one, inv @ one) / (one @ inv @ one)
+    s2 = float(y @ p @ y) / n
+    row = T.family_kernel_tests(calls, samples, members, delta=delta).first()
+    u, k = w * (g.T @ p @ y) / s2, w[:, None] * (g.T @ p @ g) * w / s2
+    assert row.skat_log_q == pytest.approx(math.log((u @ u)))
+    assert row.skat_p == pytest.approx(mixture_sf(float(u @ u), np.linalg.eigvalsh(k)), abs=1e-6)
+    own = {x.variant_id: x for x in M.family_score(calls, samples, "y", delta=delta).collect()}
+    for j in range(m):
+        a = float((g[:, j] @ p @ y) ** 2 / s2 / (g[:, j] @ p @ g[:, j]))
+        assert own[j].stat == pytest.approx(a) and own[j].lrt == pytest.approx(-n * math.log(1 - a / n))
+        assert own[j].af_blue == pytest.approx(float(g[:, j] @ inv @ one / (one @ inv @ one) / 2))
