@@ -176,19 +176,29 @@ def scratch_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 512
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Within the block, the session's setting has that value; after it, the one it had before, or none."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     """Within the block, the session's Arrow batches have so many rows at most; after it, what they had before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    if 0 < int(old) <= rows:
-        yield
-        return
-    spark.conf.set(key, str(rows))
-    try:
+    if 0 < int(spark.conf.get(key)) <= rows:
         yield
-    finally:
-        spark.conf.set(key, old)
+    else:
+        with setting(spark, key, str(rows)):
+            yield
 
 
 def scratch(spark: SparkSession, name: str) -> str:

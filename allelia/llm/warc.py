@@ -118,9 +118,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Files are read in blocks of any size, cut at every MAGIC. A fragment whose header is whole is a candidate record with
     its successor's offset; only those on the chain from their file's start are records, so a MAGIC inside a payload,
     even with a whole record around it, is none. A record's bytes and digest come from its payload as stored; the
-    payload of a record that holds a MAGIC is put together again from its fragments in a second reading. Chains that
-    break end there.
+    payload of a record that holds a MAGIC is put together again from its fragments in a second reading, whose splits are held
+    to those of the first. Chains that break end there.
     """
+    n = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+    with X.setting(spark, "spark.sql.files.minPartitionNum", str(n)):
+        return X.table(_records(spark, path), "records")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
     value, cut = F.col("value"), F.col("size")
     head = F.substring_index(value, END, 1)
     get = lambda name: F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)

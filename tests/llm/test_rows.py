@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from allelia.llm import decontaminate, near_dedup, packing, secret_scan, substring_dedup, tokens
+from allelia.llm import decontaminate, near_dedup, packing, secret_scan, substring_dedup, tokens, warc
 from allelia.llm import text as X
 
 KIND = "doc_id long, text string, lang string"
@@ -123,3 +123,19 @@ def test_settings_stay(spark, docs):
         assert int(spark.conf.get(key)) == X.BATCH_ROWS
         raise ValueError
     assert spark.conf.get(key) == before
+
+
+def test_archives_of_repeated_ids(spark):
+    """Rows that share a page_id each have a record of their own payload; equal payloads of the least id are all responses."""
+    magic = "a WARC/1.1 b"
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "u", "one"), (2, "u", "one"), (2, "u", magic), (3, "u", magic), (3, "v", None), (None, "u", "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = X.scratch(spark, "warc")
+    warc.write_archives(pages, path)
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.pages_of(warc.read_archives(spark, path)).collect())
+    assert spark.conf.get(key, None) == before
+    assert got == Counter(
+        [(1, 3, "response", None)] * 3 + [(2, 3, "revisit", 1), (2, 12, "response", None), (3, 12, "revisit", 2), (3, 0, "response", None), (None, 3, "revisit", 1)]
+    )
