@@ -300,11 +300,13 @@ MOST_SAMPLES = 5_000_000
 BLOCK_CELLS = 2_000_000
 
 
-def permutation_test(calls: DataFrame, samples: DataFrame, members: DataFrame, name: str, y: str, n_perm: int = 1000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
+def permutation_test(calls: DataFrame, samples: DataFrame, members: DataFrame, name: str, y: str, n_perm: int = 1000, alpha: float = 0.05, seed: int = 1, check_every: int | None = None) -> DataFrame:
     """(group, stat, actual_perm, n_greater, n_equal, perm_pvalue) of a statistic under seeded permutations of the trait.
 
     All groups see the same replicates, so results don't depend on partitions. A group stops early once greater + equal
-    reach 2 * alpha * n_perm; p = (greater + equal / 2) / actual. The trait vector is broadcast; its size is checked."""
+    reach 2 * alpha * n_perm; p = (greater + equal / 2) / actual. With check_every (in blocks of 50) the six-sigma rule holds
+    instead: p = (greater + equal + 1) / (actual + 1), and every so many replicates a group stops if p less six standard
+    deviations is over alpha. The trait vector is broadcast; its size is checked."""
     people = samples.select("sample_id", F.col(y).cast("double").alias("y")).orderBy("sample_id").limit(MOST_SAMPLES + 1).toPandas()
     if len(people) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} samples: permute by blocks of samples instead")
@@ -314,7 +316,11 @@ def permutation_test(calls: DataFrame, samples: DataFrame, members: DataFrame, n
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
     cells = calls.where("g > 0").join(members, "variant_id").repartition(tasks, "group")
     rows = cells.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("variant_id", "sample_id", "g"))).alias("cells"))
-    make, stop = STATISTICS[name], max(1, int(2 * alpha * n_perm))
+    make, stop = STATISTICS[name], n_perm + 1 if check_every else max(1, int(2 * alpha * n_perm))
+
+    def sure(drawn, hits):
+        p = (hits + 1) / (drawn + 1)
+        return p - 6 * math.sqrt(p * (1 - p) / drawn) > alpha
 
     def run(batches):
         ids, values = trait.value
@@ -335,7 +341,10 @@ def permutation_test(calls: DataFrame, samples: DataFrame, members: DataFrame, n
                     used = min(len(got), int(np.searchsorted(hits, stop)) + 1)
                     x[4:] = x[4] + used, x[5] + int(greater[:used].sum()), x[6] + int(equal[:used].sum())
                 left = [x for x in left if x[5] + x[6] < stop]
-            out = [(name, round(seen, 6), done, greater, equal, (greater + 0.5 * equal) / done if done else None) for name, _, _, seen, done, greater, equal in groups]
+                if check_every and drawn % check_every == 0:
+                    left = [x for x in left if not sure(drawn, x[5] + x[6])]
+            value = lambda done, greater, equal: (greater + equal + 1) / (done + 1) if check_every else (greater + 0.5 * equal) / done if done else None
+            out = [(name, seen, done, greater, equal, value(done, greater, equal)) for name, _, _, seen, done, greater, equal in groups]
             yield pd.DataFrame(out, columns=["group", "stat", "actual_perm", "n_greater", "n_equal", "perm_pvalue"])
 
     return rows.mapInPandas(run, "group string, stat double, actual_perm long, n_greater long, n_equal long, perm_pvalue double")

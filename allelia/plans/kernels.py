@@ -74,6 +74,11 @@ for _name in T.STATISTICS:
     query(f"perm_{_name}")(_permutation(_name))
 
 
+@query("perm_kbac_adaptive")
+def perm_kbac_adaptive(spark, sf_dir):
+    return T.permutation_test(V.calls(spark, sf_dir), binary(spark, sf_dir), groups(spark, sf_dir), "kbac", "case", n_perm=REPLICATES, check_every=1000)
+
+
 @query("fam_score")
 def fam_score(spark, sf_dir):
     return M.family_score(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), "y")

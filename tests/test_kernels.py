@@ -236,3 +236,20 @@ def test_adjusted_and_family_kernels(spark):
         a = float((g[:, j] @ p @ y) ** 2 / s2 / (g[:, j] @ p @ g[:, j]))
         assert own[j].stat == pytest.approx(a) and own[j].lrt == pytest.approx(-n * math.log(1 - a / n))
         assert own[j].af_blue == pytest.approx(float(g[:, j] @ inv @ one / (one @ inv @ one) / 2))
+
+
+def test_six_sigma_rule(spark):
+    """Groups that are sure to miss alpha stop at a check; the others take all replicates; p comes from the replicates drawn."""
+    rng = np.random.default_rng(41)
+    n = 200
+    y = (rng.random(n) < 0.5).astype(int)
+    g = {0: y * (rng.random(n) < 0.5), 1: rng.random(n) < 0.2}
+    samples = spark.createDataFrame([(i, int(y[i])) for i in range(n)], "sample_id long, case int")
+    calls = spark.createDataFrame([(v, i, 1) for v in g for i in range(n) if g[v][i]], "variant_id long, sample_id long, g int")
+    members = spark.createDataFrame([("strong", 0), ("null", 1)], "group string, variant_id long")
+    got = {r.group: r for r in T.permutation_test(calls, samples, members, "kbac", "case", n_perm=3000, check_every=500).collect()}
+    assert got["strong"].actual_perm == 3000 and got["strong"].perm_pvalue < 0.01
+    for r in got.values():
+        p = (r.n_greater + r.n_equal + 1) / (r.actual_perm + 1)
+        assert r.perm_pvalue == pytest.approx(p) and r.actual_perm % 500 == 0
+        assert (p - 6 * math.sqrt(p * (1 - p) / r.actual_perm) > 0.05) or r.actual_perm == 3000
