@@ -14,8 +14,8 @@ from .manifest import _CRC_TABLE, crc32_sql
 LEAST, TIMES = 6, 4
 #: Bytes of a text up to which its tiles are solved where it is read; those of longer texts are dealt among tasks.
 SPREAD = 1 << 20
-#: Words of several tiles that are dealt as one row; places compared at once; words compared before a tile is solved.
-STRIP, AT_ONCE, PROBE = 1 << 13, 1 << 20, 32
+#: Words whose tiles are solved together; words of a tile at least; places compared at once; words compared before a tile is solved.
+STRIP, WIDE, AT_ONCE, PROBE = 1 << 13, 256, 1 << 20, 32
 FRAGMENT = "struct<q: int, s: int, e: int>"
 RUNS = "array<struct<start: long, length: long, period: long>>"
 
@@ -35,58 +35,88 @@ def z_values(x: list) -> list[int]:
     return z
 
 
-def boundaries(h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Of the octave of periods from size up to twice that: the tile boundaries (every 2 * size words of a row) from which
-    on the words repeat after some such period, for as many words as size or PROBE."""
+def sure(size: int) -> int:
+    """Words that repeat for certain from the first boundary in a run on: of its places that equal those a period further on,
+    3 * size at least, the boundary leaves size - 1 behind."""
+    return max(LEAST, TIMES * size) - 2 * size + 1
+
+
+def reach(size: int) -> int:
+    """Words of a tile from its boundary on: any run's part up to the next boundary that its own part doesn't cover, or WIDE."""
+    return max(sure(size) + 3 * size - 1, WIDE)
+
+
+def candidates(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(boundaries, periods), in order, of the octave of periods from size up to twice that: the tile boundaries (every size
+    words of a row) from which on the words repeat after such a period, for sure(size) words or PROBE."""
     n = np.diff(first)
     rows = np.flatnonzero(n >= max(LEAST, TIMES * size))
-    count = n[rows] // (2 * size)
-    begin = np.repeat(first[rows], count) + 2 * size * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    count = n[rows] // size
+    begin = np.repeat(first[rows], count) + size * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     end, most = np.repeat(first[rows + 1], count), np.repeat(n[rows] // TIMES, count)
-    q, found = np.arange(size, 2 * size), []
+    q, found = np.arange(size, 2 * size), [(begin[:0], begin[:0])]
     for k in range(0, len(begin), max(1, AT_ONCE // size)):
         b, e, m = (v[k : k + max(1, AT_ONCE // size), None] for v in (begin, end, most))
         there = b + q
-        same = (there + size <= e) & (q <= m) & (h[b] == h[np.minimum(there, len(h) - 1)])
+        same = (there + sure(size) <= e) & (q <= m) & (h[b] == h[np.minimum(there, len(h) - 1)])
         i, j = np.nonzero(same)
         i, j = b[i, 0], q[j]
-        for t in range(1, min(size, PROBE)):
+        for t in range(1, min(sure(size), PROBE)):
             if not len(i):
                 break
             ok = h[i + t] == h[i + j + t]
             i, j = i[ok], j[ok]
-        found.append(np.unique(i))
-    return np.concatenate(found) if found else begin
+        found.append((i, j))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def solve(words: list, at: int, size: int, most: int) -> list[tuple[int, int, int]]:
-    """(q, s, e): in a tile, of periods q from size up to twice that (most at most), the places [s, e) around the boundary
-    `at` at which words equal those q further on; only where size words from the boundary on do, and where no smaller
-    period explains the same stretch.
+def solve(words: list, at: int, size: int, most: int) -> tuple[list, list]:
+    """(parts, others) of a tile. parts (q, s, e): of periods q from size up to twice that (most at most), the places [s, e) around
+    the boundary `at` at which words equal those q further on; only where sure(size) words from the boundary on do, and where
+    no smaller period explains the same stretch. others (p, s, end): the stretches of smaller periods that do.
 
     The Z-function of the words from the boundary on gives how far each period reaches to the right, that of the reversed
     words how far to the left. A stretch with two periods that is as long as their sum has their greatest common divisor as
-    a period, so a period that is a multiple of a run's own is known from the tile alone."""
-    right = np.array(z_values(words[at : at + 5 * size]), np.int64)
+    a period, so a period that is a multiple of a run's own, then under size, is known from the tile alone."""
+    right = np.array(z_values(words[at : at + reach(size)]), np.int64)
     end = min(at + 2 * size, len(words))
     top = min(2 * size, len(right), end - at + 1)  # periods are below
-    back = words[max(0, at - 2 * size) : at][::-1]
-    z = np.array(z_values([*back, None, *words[max(0, at - 2 * size) : end][::-1]]), np.int64)
+    back = words[max(0, at - size) : at][::-1]
+    z = np.array(z_values([*back, None, *words[max(0, at - size) : end][::-1]]), np.int64)
     shift = np.arange(top)
     left = z[np.minimum(len(back) + 1 + end - at - shift, len(z) - 1)]
-    right, reach = right[:top], shift + right[:top]
-    open_, out = shift[size : most + 1][right[size : most + 1] >= size], []
+    right, ends = right[:top], shift + right[:top]
+    open_, parts, others = shift[size : most + 1][right[size : most + 1] >= sure(size)], [], []
     while len(open_):
         q = open_[0]
-        small = min(size, int(left[q] + right[q]) + 1)
-        covers = np.flatnonzero((left[1:small] >= left[q]) & (reach[1:small] >= reach[q]))
+        covers = np.flatnonzero((left[1:size] >= left[q]) & (ends[1:size] >= ends[q]))
         if len(covers):
             p = covers[0] + 1
-            open_ = open_[(left[open_] > left[p]) | (reach[open_] > reach[p]) | (p > left[open_] + right[open_])]
+            open_ = open_[(left[open_] > left[p]) | (ends[open_] > ends[p])]
+            others.append((int(p), int(at - left[p]), int(at + ends[p])))
         else:
-            out.append((int(q), int(at - left[q]), int(at + min(right[q], 3 * size))))
+            parts.append((int(q), int(at - left[q]), int(at + right[q])))
             open_ = open_[1:]
-    return out
+    return parts, others
+
+
+def solve_strip(x: np.ndarray, at: np.ndarray, q: np.ndarray, size: int, most: int) -> list[tuple[int, int, int]]:
+    """(q, s, e) in the words x from the tiles at candidates (at, q), in order; those that an earlier tile explains are skipped."""
+    out = []
+    while len(at):
+        b = int(at[0])
+        lo = max(0, b - size)
+        parts, others = solve(x[lo : b + reach(size)].tolist(), b - lo, size, most)
+        done = at == b
+        for p, s, e in parts:
+            out.append((p, s + lo, e + lo))
+            # where the tile's end cuts the part, the next candidate may be the last of its run
+            cut = size - 1 if e + p >= b - lo + reach(size) else 0
+            done |= (q == p) & (at >= s + lo) & (at + sure(size) + cut <= e + lo)
+        for _, s, end in others:
+            done |= (at >= s + lo) & (at + q + sure(size) <= end + lo)
+        at, q = at[~done], q[~done]
+    return joined(out)
 
 
 def joined(fragments: list[tuple]) -> list[tuple]:
@@ -107,17 +137,37 @@ def octaves(first: np.ndarray):
         size *= 2
 
 
+def strips(h: np.ndarray, first: np.ndarray, size: int, known: np.ndarray | None = None):
+    """(row, first word, end word, boundaries from the first word, periods) of STRIP words' candidates together; not of those
+    within a known stretch of a smaller period. known: to where such a stretch reaches that starts at a word or before."""
+    at, q = candidates(h, first, size)
+    if known is not None:
+        new = known[at] < at + q + sure(size)
+        at, q = at[new], q[new]
+    row = np.searchsorted(first, at, "right") - 1
+    place = (at - first[row]) // STRIP
+    for k in np.split(np.arange(len(at)), np.flatnonzero((row[1:] != row[:-1]) | (place[1:] != place[:-1])) + 1):
+        if len(k):
+            r = int(row[k[0]])
+            lo, hi = max(int(first[r]), int(at[k[0]]) - size), min(int(first[r + 1]), int(at[k[-1]]) + reach(size))
+            yield r, lo, hi, at[k] - lo, q[k]
+
+
 def fragments(h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(row, q, s, e) of a slab's rows, places from 0 in each row."""
-    out = []
+    """(row, q, s, e) of a slab's whole rows that are long enough for a run, places from 0 in each row."""
+    out: list[tuple] = []
+    known = np.zeros(len(h), np.int64)
     for size in octaves(first):
-        found = boundaries(h, first, size)
-        rows = np.searchsorted(first, found, "right") - 1
-        for b, r in zip(found.tolist(), rows.tolist()):
-            lo, hi = max(first[r], b - 2 * size), min(first[r + 1], b + 5 * size)
-            own = solve(h[lo:hi].tolist(), int(b - lo), size, int(first[r + 1] - first[r]) // TIMES)
-            out += [(r, q, int(s + lo - first[r]), int(e + lo - first[r])) for q, s, e in own]
-    return joined(out)
+        found = []
+        for r, lo, hi, at, q in strips(h, first, size, known):
+            shift = lo - int(first[r])
+            found += [(r, p, s + shift, e + shift) for p, s, e in solve_strip(h[lo:hi], at, q, size, int(first[r + 1] - first[r]) // TIMES)]
+        for r, p, s, e in joined(found):
+            known[first[r] + s] = max(known[first[r] + s], first[r] + e + p)
+        if found:
+            known = np.maximum.accumulate(known)
+        out += found
+    return [f for f in joined(out) if f[3] - f[2] + f[1] >= max(LEAST, TIMES * f[1])]
 
 
 def _text(starts, ends, data, first, keep) -> pa.Array:
@@ -161,35 +211,27 @@ def _plain(batches):
 
 
 def _strips(batches):
-    """Of long texts: the surviving boundaries of an octave with the words around them, up to STRIP words in a row or one tile."""
+    """Of long texts: the strips that hold candidates, with their words."""
     for batch in batches:
         for i, j, at, data in X.slabs(batch.column("text")):
             h, first, _, _ = X.words(at, data, lower=False)
             for size in octaves(first):
-                found = boundaries(h, first, size)
-                row = np.searchsorted(first, found, "right") - 1
-                new = np.append(True, (row[1:] != row[:-1]) | (found[1:] // STRIP != found[:-1] // STRIP))[: len(found)]
-                for own in np.split(found, np.flatnonzero(new)[1:]):
-                    if len(own):
-                        r = int(np.searchsorted(first, own[0], "right")) - 1
-                        lo, hi = max(first[r], own[0] - 2 * size), min(first[r + 1], own[-1] + 5 * size)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column("row").slice(i + r, 1), pa.array([size]), pa.array([lo - first[r]], pa.int64()), pa.array([(first[r + 1] - first[r]) // TIMES], pa.int64()), pa.array([(own - lo).tolist()], pa.list_(pa.int64())), pa.array([h[lo:hi].tobytes()], pa.binary())],
-                            names=["row", "size", "lo", "most", "at", "words"],
-                        )
+                for r, lo, hi, places, q in strips(h, first, size):
+                    n = int(first[r + 1] - first[r])
+                    facts = [pa.array([v], pa.int64()) for v in (size, lo - int(first[r]), n // TIMES)]
+                    lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (places, q)]
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(i + r, 1), *facts, *lists, pa.array([h[lo:hi].tobytes()], pa.binary())], names=["row", "size", "lo", "most", "at", "q", "words"])
 
 
 def _solve_strips(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            size, lo, most, at = (batch.column(c)[k].as_py() for c in ("size", "lo", "most", "at"))
-            x, own = np.frombuffer(batch.column("words")[k].as_buffer(), np.uint64), []
-            for b in at:
-                begin = max(0, b - 2 * size)
-                own += [(q, s + begin + lo, e + begin + lo) for q, s, e in solve(x[begin : b + 5 * size].tolist(), b - begin, size, most)]
-            own = joined(own)
+            size, lo, most = (batch.column(c)[k].as_py() for c in ("size", "lo", "most"))
+            at, q = (batch.column(c)[k].values.to_numpy() for c in ("at", "q"))
+            own = solve_strip(np.frombuffer(batch.column("words")[k].as_buffer(), np.uint64), at, q, size, most)
             if own:
-                yield pa.RecordBatch.from_arrays([pa.chunked_array([batch.column("row").slice(k, 1)] * len(own)).combine_chunks(), *[pa.array([f[c] for f in own], pa.int32()) for c in range(3)]], names=["row", "q", "s", "e"])
+                spans = [pa.array([f[0] for f in own], pa.int32()), *[pa.array([f[c] + lo for f in own], pa.int32()) for c in (1, 2)]]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array([k] * len(own))), *spans], names=["row", "q", "s", "e"])
 
 
 def _collapse(batches):
@@ -232,10 +274,10 @@ def collapsed(documents: DataFrame, spread: int = SPREAD) -> DataFrame:
     no runs, and give an empty text. Rows that repeat or lack an id are told apart by their texts; identical rows have
     identical results. An empty table gives an empty result.
 
-    For each octave of periods, from Q up to 2 Q, a document is cut into tiles of 7 Q words around boundaries that lie 2 Q
-    apart, so that every run has a boundary from which Q words repeat, and neighbouring tiles overlap. A vectorised
-    comparison of all boundaries and periods leaves those tiles in which words repeat; these are solved by themselves.
-    Tiles of texts over `spread` bytes are dealt among tasks with their words, others are solved where they are read.
+    For each octave of periods, from Q up to 2 Q, a document is cut into tiles of 6 Q words around boundaries that lie Q
+    apart, so that every run has a boundary from which 2 Q + 1 words repeat, and neighbouring tiles overlap. A vectorised
+    comparison of all boundaries and periods leaves those tiles in which words repeat; these are solved by themselves, but for
+    those that a tile before them in the same strip explains. Tiles of texts over `spread` bytes are dealt among tasks with their words, others are solved where they are read.
     Fragments are shuffled by document and period; texts without any are read twice and never shuffled, the others
     are written once and meet their runs by row.
     """
@@ -245,14 +287,15 @@ def collapsed(documents: DataFrame, spread: int = SPREAD) -> DataFrame:
     row = "row struct<doc_id: long, t1: long, t2: long>"
     held = X.table(short.select(X.row_key().alias("row"), "text").mapInArrow(_held, f"{row}, text string, fragments array<{FRAGMENT}>"), "held")
     with X.passing_tables(documents.sparkSession) as table:
-        strips = long.mapInArrow(_strips, f"{row}, size long, lo long, most long, at array<long>, words binary")
+        strips = long.mapInArrow(_strips, f"{row}, size long, lo long, most long, at array<long>, q array<long>, words binary")
         strips = strips.repartition("row", "size", "lo")
         found = held.select("row", F.explode("fragments").alias("f")).select("row", "f.*")
         found = table(found.unionAll(strips.mapInArrow(_solve_strips, f"{row}, q int, s int, e int")), "fragments")
         runs = X.table(stitched(found), "runs")
+    few = (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= X.BROADCAST_KEYS
     texts = held.select("row", "text").unionAll(long)
     kind = "doc_id long, n_words long"
-    changed = texts.join(runs, "row", "left").select("row.doc_id", "text", "runs").mapInArrow(_collapse, f"{kind}, runs {RUNS}, text string")
+    changed = texts.join(F.broadcast(runs) if few else runs, "row", "left").select("row.doc_id", "text", "runs").mapInArrow(_collapse, f"{kind}, runs {RUNS}, text string")
     plain = short.mapInArrow(_plain, f"{kind}, text string").select("doc_id", "n_words", F.lit(None).cast(RUNS).alias("runs"), "text")
     return plain.unionAll(changed).withColumn("runs", F.coalesce("runs", F.array().cast(RUNS)))
 
