@@ -23,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op7_relative_lz_dedup": substring_dedup.OP7_SQL,
     "op9_simhash_decontamination": decontaminate.OP9_SQL,
     "op11_tiled_runs": periodic_runs.OP11_SQL,
+    "op12_popcount_simhash": simhash_dedup.OP12_SQL,
     "op13_merkle_levels": manifest.OP13_SQL,
 }

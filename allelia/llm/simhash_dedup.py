@@ -125,3 +125,52 @@ def near_groups(documents: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fixed values of XXH64.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _xxh64_sql(rows: str) -> str:
+    """DuckDB's common table expressions from x0(s, x, n) (a text, its UTF-8 bytes in hex, their number) to xxh(s, h), of rows(s)."""
+    number = lambda v: f"{v % (1 << 64)}::UHUGEINT"
+    mod = lambda v: f"(({v}) % {1 << 64}::UHUGEINT)"
+    times = lambda a, b: mod(f"({a}) * {number(b)}")
+    turn = lambda v, r: f"{mod(f'({v}) << {r}')} | (({v}) >> {64 - r})"
+    read = lambda at, k: "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(k))) + ")::UBIGINT::UHUGEINT"
+    each = lambda start, items, step: f"list_reduce(list_prepend(({start})::UHUGEINT, {items}), lambda h, k: {step})"
+    mixed = lambda k: times(turn(times(k, P2), 31), P1)
+    stripes = []
+    for j, start in enumerate((SEED + P1 + P2, SEED + P2, SEED, SEED - P1)):
+        items = f"list_transform(range(n // 32), lambda i: {read(f'32 * i + {8 * j}', 8)})"
+        stripes.append(f"{each(number(start), items, times(turn(mod('h + ' + times('k', P2)), 31), P1))} AS v{j}")
+    total = mod(" + ".join(f"({turn(f'v{j}', r)})" for j, r in enumerate((1, 7, 12, 18))))
+    lists = ("[v0, v1, v2, v3]", "list_transform(range(n % 32 // 8), lambda i: " + read("n // 32 * 32 + 8 * i", 8) + ")", f"CASE WHEN n % 8 >= 4 THEN [{read('n // 8 * 8', 4)}] ELSE []::UHUGEINT[] END", "list_transform(range(n % 4), lambda i: " + read("n // 4 * 4 + i", 1) + ")")
+    steps = (
+        mod(times(f"xor(h, {mixed('k')})", P1) + f" + {number(P4)}"),
+        mod(times(turn(f"xor(h, {mixed('k')})", 27), P1) + f" + {number(P4)}"),
+        mod(times(turn(f"xor(h, {times('k', P1)})", 23), P2) + f" + {number(P3)}"),
+        times(turn(f"xor(h, {times('k', P5)})", 11), P1),
+    )
+    out = [f"x0 AS (SELECT s, hex(s) AS x, strlen(s) AS n FROM {rows})", f"x1 AS (SELECT *, {', '.join(stripes)} FROM x0)"]
+    out.append(f"x2 AS (SELECT s, x, n, {mod(f'CASE WHEN n >= 32 THEN {each(total, lists[0], steps[0])} ELSE {number(SEED + P5)} END + n::UHUGEINT')} AS h0 FROM x1)")
+    for k in (1, 2, 3):
+        out.append(f"x{k + 2} AS (SELECT s, x, n, {each(f'h{k - 1}', lists[k], steps[k])} AS h{k} FROM x{k + 1})")
+    out.append(f"x6 AS (SELECT s, {times('xor(h3, h3 >> 33)', P2)} AS a FROM x5), x7 AS (SELECT s, {times('xor(a, a >> 29)', P3)} AS b FROM x6), xxh AS (SELECT s, xor(b, b >> 32)::UBIGINT AS h FROM x7)")
+    return ",\n".join(out)
+
+
+#: The same rows from all pairs of fingerprints.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, UNNEST(range(1, GREATEST(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+t AS (SELECT DISTINCT s FROM s),
+{_xxh64_sql("t")},
+b AS (SELECT doc_id, b, 2 * SUM((h >> b::UBIGINT) & 1) > COUNT(*) AS up FROM s JOIN xxh USING (s), range(64) r(b) GROUP BY doc_id, b),
+f AS (SELECT doc_id, COALESCE(fp, 0::UBIGINT) AS fp FROM documents LEFT JOIN (SELECT doc_id, BIT_OR(CASE WHEN up THEN 1::UBIGINT << b::UBIGINT ELSE 0::UBIGINT END) AS fp FROM b GROUP BY doc_id) USING (doc_id)),
+g AS (SELECT DISTINCT fp FROM f),
+e AS (SELECT x.fp AS a, y.fp AS b FROM g x JOIN g y ON bit_count(xor(x.fp, y.fp)::HUGEINT) <= 2),
+r(fp, c) AS (SELECT fp, fp FROM g UNION SELECT r.fp, e.b FROM r JOIN e ON r.c = e.a),
+m AS (SELECT r.fp, MIN(doc_id) AS component_id FROM r JOIN f ON f.fp = r.c GROUP BY 1)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN m USING (fp)
+"""
