@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,76 +47,54 @@ def _numbers(data: bytes, bits: int, count: int) -> np.ndarray:
     return values / (2.0**bits - 1)
 
 
-def dosages(block: bytes, n: int) -> tuple[np.ndarray, bool]:
-    """Expected copies of the second allele per sample (nan if missing) from a plain layout-2 block, and whether phased.
+def genotypes(k: int, ploidy: int) -> np.ndarray:
+    """(genotypes, alleles): copies of each of k alleles in the unordered genotypes of a ploidy, in the file's order (by the
+    copies of the last allele first)."""
+    found = [np.bincount(c, minlength=k) for c in combinations_with_replacement(range(k), ploidy)]
+    return np.array(sorted(found, key=lambda c: tuple(c[::-1])), float).reshape(-1, k)
 
-    Haploid samples have one probability; more than two alleles aren't read."""
+
+def expected(block: bytes, n: int, alleles: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """(phased, ploidy of each sample, copies) of a plain layout-2 block: copies (alleles - 1, n) has the expected copies of each
+    alternative allele, nan where the sample is missing.
+
+    A phased sample has alleles - 1 probabilities a haplotype; else one for each genotype but the last."""
     _, k, low, high = struct.unpack_from("<IHBB", block)
-    if k != 2 or high > 2:
-        raise ValueError("biallelic variants of ploidy 1 or 2 only")
-    ploidy = np.frombuffer(block, np.uint8, n, 8)
-    phased, bits = block[8 + n], block[9 + n]
-    size = (ploidy & 63).astype(int)
-    p = _numbers(block[10 + n :], bits, int(size.sum()))
-    at = np.cumsum(size) - size
-    first, second = p[at], p[np.minimum(at + 1, len(p) - 1)]
-    two = size == 2
-    # unphased: P(two of the first), P(one each); phased and haploid: P(first) per copy
-    copies = np.where(two, (2 - first - second) if phased else second + 2 * (1 - first - second), 1 - first)
-    return np.where(ploidy & 128, np.nan, copies), bool(phased)
-
-
-def variants_of(data: bytes):
-    """(id, rsid, chrom, pos, alleles, dosages) of every variant of a file."""
-    at, n, compression, layout = header(data)
-    while at < len(data):
-        if layout == 1:
-            at += 4
-        name, at = _text(data, at, "<H")
-        rsid, at = _text(data, at, "<H")
-        chrom, at = _text(data, at, "<H")
-        pos = struct.unpack_from("<I", data, at)[0]
-        at += 4
-        count = 2
-        if layout == 2:
-            count = struct.unpack_from("<H", data, at)[0]
-            at += 2
-        alleles = []
-        for _ in range(count):
-            allele, at = _text(data, at, "<I")
-            alleles.append(allele)
-        if layout == 1:
-            size = struct.unpack_from("<I", data, at)[0] if compression else 6 * n
-            at += 4 * bool(compression)
-            p = np.frombuffer(_plain(data[at : at + size], compression, 6 * n), "<u2").reshape(n, 3) / 32768
-            total = p.sum(1)
-            g = np.where(total > 0, (p[:, 1] + 2 * p[:, 2]) / np.where(total > 0, total, 1), np.nan)
+    if k != alleles:
+        raise ValueError(f"{k} alleles in the probabilities, {alleles} in the variant")
+    raw = np.frombuffer(block, np.uint8, n, 8)
+    ploidy = (raw & 63).astype(np.int32)
+    phased, bits = bool(block[8 + n]), block[9 + n]
+    per = {z: z * (k - 1) if phased else math.comb(z + k - 1, k - 1) - 1 for z in set(ploidy.tolist())}
+    counts = np.array([per[z] for z in ploidy.tolist()], np.int64)
+    p = _numbers(block[10 + n :], bits, int(counts.sum()))
+    at, out = np.cumsum(counts) - counts, np.full((k - 1, n), np.nan)
+    for z, size in per.items():
+        own = np.flatnonzero(ploidy == z)
+        x = p[at[own][:, None] + np.arange(size)]
+        if phased:
+            x = x.reshape(len(own), z, k - 1)
+            copies = np.concatenate([x, 1 - x.sum(2, keepdims=True)], 2).sum(1)
         else:
-            size = struct.unpack_from("<I", data, at)[0]
-            at += 4
-            skip = 4 * bool(compression)
-            full = struct.unpack_from("<I", data, at)[0] if compression else size
-            g, _ = dosages(_plain(data[at + skip : at + size], compression, full), n)
-        at += size
-        yield name, rsid, chrom, pos, alleles, g
-
-
-def read_bgen(spark: SparkSession, path: str) -> DataFrame:
-    """(id, rsid, chrom, pos, ref, alt, dosage array<double>) of BGEN files below path, a task a file: keep one per
-    region. A null dosage is missing; ranges are plain filters on (chrom, pos) after a write to sorted Parquet."""
-
-    def run(batches):
-        for frame in batches:
-            for data in frame["content"]:
-                rows = []
-                for name, rsid, chrom, pos, alleles, g in variants_of(data):
-                    rows.append((name, rsid, chrom, pos, alleles[0], alleles[1], g.tolist()))
-                    if len(rows) == 256:
-                        yield pd.DataFrame(rows, columns=["id", "rsid", "chrom", "pos", "ref", "alt", "dosage"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["id", "rsid", "chrom", "pos", "ref", "alt", "dosage"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    out = files.mapInPandas(run, "id string, rsid string, chrom string, pos long, ref string, alt string, dosage array<double>")
-    return out.withColumn("dosage", F.transform("dosage", lambda x: F.nanvl(x, F.lit(None).cast("double"))))
+            copies = np.column_stack([x, 1 - x.sum(1)]) @ genotypes(k, z)
+        out[:, own] = copies.T[1:]
+    out[:, raw & 128 > 0] = np.nan
+    return phased, ploidy, out
+
+
+def first_layout(block: bytes, n: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """The same of a plain layout-1 block: three probabilities a sample, of diploid biallelic calls, all 0 where it is missing."""
+    p = np.frombuffer(block, "<u2").reshape(n, 3) / 32768
+    total = p.sum(1)
+    copies = np.where(total > 0, (p[:, 1] + 2 * p[:, 2]) / np.where(total > 0, total, 1), np.nan)
+    return False, np.full(n, 2, np.int32), copies[None, :]
+
+
+def read_bgen(spark: SparkSession, path: str, region: str | None = None, split: int | None = None) -> DataFrame:
+    """(id, rsid, chrom, pos, alleles, phased, ploidy, copies, ref, alt, dosage) of BGEN files at or below path, see
+    ranged.BgenReader; dosage is that of a biallelic variant's second allele, null for others. region: `chrom:beg-end`."""
+    from . import ranged
+
+    rows = ranged.source(spark, ranged.Bgen, path, region=region, split=split)
+    two = F.size("alleles") == 2
+    return rows.withColumns({"ref": F.col("alleles")[0], "alt": F.array_join(F.slice("alleles", 2, 1 << 30), ","), "dosage": F.when(two, F.get("copies", F.lit(0)))})

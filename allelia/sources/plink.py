@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 MAGIC = bytes([0x6C, 0x1B, 0x01])
 #: Code in the file by alternative alleles (0, 1, 2, missing), allele 1 being the reference.
 _CODE = np.array([0, 2, 3, 1], np.uint8)
-_DECODE = np.array([0, -9, 1, 2], np.int8)
+DECODE = np.array([0, -9, 1, 2], np.int8)
 
 
 def pack(g: np.ndarray) -> bytes:
@@ -22,7 +22,7 @@ def pack(g: np.ndarray) -> bytes:
 
 def unpack(data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
-    return _DECODE[(raw[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(-1)[:n]
+    return DECODE[(raw[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(-1)[:n]
 
 
 def packed_rows(sites: DataFrame, calls: DataFrame, samples: DataFrame) -> DataFrame:
@@ -45,32 +45,26 @@ def packed_rows(sites: DataFrame, calls: DataFrame, samples: DataFrame) -> DataF
     return rows.mapInPandas(run, f"variant_id long, chrom {dict(sites.dtypes)['chrom']}, pos long, bed binary")
 
 
-def read_bed(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sites, samples, calls) of prefix.bed, .bim and .fam.
-
-    A bed file is one task: keep one per chromosome. Calls are sparse."""
-    bim = spark.read.text(f"{prefix}.bim").select(F.split("value", r"\s+").alias("f"), F.monotonically_increasing_id().alias("line"))
-    sites = bim.select((F.row_number().over(Window.orderBy("line")) - 1).alias("variant_id"), F.col("f")[0].alias("chrom"), F.col("f")[1].alias("id"), F.col("f")[3].cast("long").alias("pos"), F.col("f")[4].alias("ref"), F.col("f")[5].alias("alt"))
-    fam = spark.read.text(f"{prefix}.fam").select(F.split("value", r"\s+").alias("f"), F.monotonically_increasing_id().alias("line"))
-    samples = fam.select((F.row_number().over(Window.orderBy("line")) - 1).alias("sample_id"), F.col("f")[0].alias("fid"), F.col("f")[1].alias("iid"), F.col("f")[4].try_cast("int").alias("sex"), F.col("f")[5].try_cast("double").alias("y"))
-    n = samples.count()
-    width = -(-n // 4)
-
-    def run(batches):
-        for frame in batches:
-            out = []
-            for data in frame["content"]:
-                if data[:3] != MAGIC:
-                    raise ValueError("not a variant-major bed file")
-                for v in range((len(data) - 3) // width):
-                    g = unpack(data[3 + v * width : 3 + (v + 1) * width], n)
-                    k = np.flatnonzero(g)
-                    out.append(pd.DataFrame({"variant_id": v, "sample_id": k, "g": g[k].astype(float)}))
-                    if len(out) == 1000:
-                        yield pd.concat(out)
-                        out = []
-            if out:
-                yield pd.concat(out)
-
-    calls = spark.read.format("binaryFile").load(f"{prefix}.bed").select("content").mapInPandas(run, "variant_id long, sample_id long, g double")
-    return sites, samples, calls.withColumn("g", F.when(F.col("g") >= 0, F.col("g")).cast("int"))
+def read_bed(spark: SparkSession, prefix: str, region: str | None = None, split: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sites, samples, calls) of prefix.bed, .bim and .fam; calls are sparse.
+
+    All three files are split by byte ranges; only the counts of lines by range go to the driver. With a region
+    (`chrom:beg-end`) sites and calls are its own, and of the bed file only the rows from its first site to its last are read."""
+    from . import ranged
+
+    field = lambda k: F.split("value", r"\s+")[k]
+    sites = ranged.numbered_lines(spark, f"{prefix}.bim", split).withColumn("value", F.trim("value"))
+    sites = sites.select(F.col("line").alias("variant_id"), field(0).alias("chrom"), field(1).alias("id"), field(3).cast("long").alias("pos"), field(4).alias("ref"), field(5).alias("alt"))
+    samples = ranged.numbered_lines(spark, f"{prefix}.fam", split).withColumn("value", F.trim("value"))
+    samples = samples.select(F.col("line").alias("sample_id"), field(0).alias("fid"), field(1).alias("iid"), field(4).try_cast("int").alias("sex"), field(5).try_cast("double").alias("y"))
+    first = last = None
+    if region:
+        name, beg, end = ranged.parse_region(region)
+        sites = sites.where((F.regexp_replace("chrom", "^chr", "") == name) & F.col("pos").between(beg, end))
+        first, last = sites.agg(F.min("variant_id"), F.max("variant_id")).first()
+        if first is None:
+            first, last = 0, -1
+    calls = ranged.source(spark, ranged.Bed, f"{prefix}.bed", samples=samples.count(), first=first, last=last, split=split)
+    if region:
+        calls = calls.join(sites.select("variant_id"), "variant_id", "left_semi")
+    return sites, samples, calls.withColumn("g", F.when(F.col("g") >= 0, F.col("g")))

@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..operators import genotypes as G
 
 
-def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sites, calls) of VCF text files, plain or compressed.
+def read_vcf(spark: SparkSession, path: str, region: str | None = None, split: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sites, calls) of VCF text files, plain or compressed, and of BCF files.
+
+    Bgzipped VCF (.vcf.gz, .vcf.bgz) and BCF files are split by blocks, and with a region (`chrom:beg-end`) only its blocks are
+    read, see ranged.LinesReader; other text is read by Spark unless a region is asked for.
 
     sites: variant_id (a hash of chrom, pos, ref and alt), chrom, pos, id, ref, alt, qual, filter, info; calls: variant_id,
     sample, gt, gd, gq, g, sparse: hom-ref cells are left out, missing ones kept. FORMAT is resolved on every row by exact
     tag. Each file's own header gives its sample names, as rows (file, place, sample) that its cells are joined with. Where
     only one file has a header it is that of all, as for the parts of one written set; else a file without one is an
     error, and so are repeated names."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    if region or path.endswith((".vcf.gz", ".vcf.bgz", ".bcf")):
+        from . import ranged
+
+        lines = ranged.source(spark, ranged.Lines, path, region=region, split=split)
+    else:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     heads = lines.where(F.startswith("value", F.lit("#CHROM"))).select("file", F.slice(F.split(F.regexp_replace("value", r"\s+$", ""), "\t"), 10, 1 << 30).alias("names"))
     odd = heads.where(F.size(F.array_distinct("names")) < F.size("names")).first()
     if odd:
