@@ -158,9 +158,9 @@ def site_anti(spark, sf_dir):
     return L.sites_not_in(v, v.where("variant_id % 3 = 0").select("chrom", "pos"))
 
 
-@query("site_filters", " SELECT * FROM variants WHERE qual >= 1000 AND filter = 'PASS' AND ref IN ('A','C','G','T') AND alt IN ('A','C','G','T') AND regexp_matches(anno, 'STEEL|BRASS') AND chrom BETWEEN 1 AND 26")
+@query("site_filters", " SELECT * FROM variants WHERE qual >= 905 AND filter = 'PASS' AND ref IN ('A','C','G','T') AND alt IN ('A','C','G','T') AND regexp_matches(anno, 'ECONOMY|STANDARD|PROMO') AND chrom BETWEEN 1 AND 26")
 def site_filters(spark, sf_dir):
-    return V.variants(spark, sf_dir).where(L.quality_at_least(1000) & L.passing() & L.biallelic_snp() & L.annotated("STEEL|BRASS") & L.plink_chromosome())
+    return V.variants(spark, sf_dir).where(L.quality_at_least(905) & L.passing() & L.biallelic_snp() & L.annotated("ECONOMY|STANDARD|PROMO") & L.plink_chromosome())
 
 
 @query("region_filter", " SELECT * FROM variants WHERE pos BETWEEN 5000 AND 90000 OR pos BETWEEN 150000 AND 160000")

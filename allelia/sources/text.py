@@ -149,11 +149,13 @@ def read_bgen_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_kinship(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, kinship) of a matrix file FID IID id1 ... idn, in long form."""
-    header = spark.read.text(path).first().value.split()[2:]
-    rows = _table(spark, path).where(F.lower(F.col("f")[0]) != "fid")
-    pairs = F.arrays_zip(F.array(*[F.lit(x) for x in header]).alias("j"), F.slice("f", 3, len(header)).alias("k"))
-    return rows.select(F.col("f")[1].alias("i"), F.explode(pairs).alias("p")).select("i", F.col("p.j").alias("j"), F.col("p.k").try_cast("double").alias("kinship"))
+    """(i, j, kinship) of a matrix file FID IID id1 ... idn, in long form. The header is a row that the others are joined with, so
+    the plan doesn't grow with the samples."""
+    lines = _table(spark, path)
+    head = lines.where(F.lower(F.col("f")[0]) == "fid").select(F.slice("f", 3, 1 << 30).alias("names"))
+    rows = lines.where(F.lower(F.col("f")[0]) != "fid").join(F.broadcast(head))
+    pairs = F.arrays_zip("names", F.slice("f", 3, 1 << 30).alias("k"))
+    return rows.select(F.col("f")[1].alias("i"), F.explode(pairs).alias("p")).select("i", F.col("p.names").alias("j"), F.col("p.k").try_cast("double").alias("kinship"))
 
 
 def write_results(rows: DataFrame, path: str) -> None:
