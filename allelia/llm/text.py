@@ -247,7 +247,6 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Rows' keys that are broadcast at most.
 BROADCAST_KEYS = 200_000
-_ROW = "__row"
 
 
 def row_key() -> Column:
@@ -256,24 +255,30 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
-def _joined(documents: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+def _joined(documents: DataFrame, keys: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """documents joined with keys(row) by row_key(), and the name of the column with the key, which documents doesn't have."""
+    name = "row_key"
+    while name in (c.lower() for c in documents.columns):
+        name += "_"
     few = keys.count() <= BROADCAST_KEYS
-    keys = keys.select(F.col("row").alias(_ROW))
-    return documents.withColumn(_ROW, row_key()).join(F.broadcast(keys) if few else keys, _ROW, how)
+    keys = keys.select(F.col("row").alias(name))
+    return documents.withColumn(name, row_key()).join(F.broadcast(keys) if few else keys, name, how), name
 
 
 def only(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of documents whose row_key() is in keys(row), a written table. Texts are shuffled only for more than
     BROADCAST_KEYS keys."""
-    return _joined(documents, keys, "left_semi").drop(_ROW)
+    found, name = _joined(documents, keys, "left_semi")
+    return found.drop(name)
 
 
 def without(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of documents whose row_key() isn't in keys(row). Texts are shuffled only for more than BROADCAST_KEYS keys."""
-    return _joined(documents, table(keys.select("row").distinct(), "keys"), "left_anti").drop(_ROW)
+    found, name = _joined(documents, table(keys.select("row").distinct(), "keys"), "left_anti")
+    return found.drop(name)
 
 
 def once(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """documents with one row for each row_key() in keys(row), a written table of distinct keys; other rows all stay."""
-    some = _joined(documents, keys, "left_semi").dropDuplicates([_ROW])
-    return _joined(documents, keys, "left_anti").unionByName(some).drop(_ROW)
+    some, name = _joined(documents, keys, "left_semi")
+    return _joined(documents, keys, "left_anti")[0].unionByName(some.dropDuplicates([name])).drop(name)

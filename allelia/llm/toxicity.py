@@ -139,8 +139,8 @@ def fit(names: np.ndarray, toxic: list[np.ndarray], other: list[np.ndarray], pri
 def train(documents: DataFrame, labels: DataFrame, usable=None) -> Model:
     """Fit on documents(doc_id, text) and labels(doc_id, toxic) whose doc_id meets the condition usable.
 
-    The sample is bounded (TOXIC_DOCS, OTHER_DOCS) and drawn by a hash of doc_id; whole texts give the features. The
-    class prior is the share of toxic labels. Features are the words and beginnings whose shares of toxic and of unlabelled
+    The sample has at most TOXIC_DOCS and OTHER_DOCS rows, drawn by a hash of doc_id and, where ids repeat, then by one of id and
+    text, identical rows counting once; whole texts give the features. The class prior is the share of toxic labels. Features are the words and beginnings whose shares of toxic and of unlabelled
     documents differ by APART standard deviations, so that long texts don't add up noise. Null labels and null ids take no part; without a toxic example every
     score is 0.
     """
@@ -152,7 +152,13 @@ def train(documents: DataFrame, labels: DataFrame, usable=None) -> Model:
     picked = draw(known.where("toxic = 1"), TOXIC_DOCS).withColumn("toxic", F.lit(1))
     picked = picked.unionAll(draw(documents.where(F.col("doc_id").isNotNull() & usable), OTHER_DOCS).withColumn("toxic", F.lit(0)))
     # at most TOXIC_DOCS + OTHER_DOCS ids
-    sample = X.table(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text"), "sample")
+    sample = X.table(documents.select("doc_id", "text", X.row_key().alias("row")).join(F.broadcast(picked), "doc_id").select("toxic", "text", "row"), "sample")
+    size = sample.agg(F.count("*").alias("n"), F.count_distinct("toxic", "row").alias("rows")).first()
+    if size.n > picked.count() or size.rows < size.n:  # ids with several rows: again at most as many rows
+        each = sample.dropDuplicates(["toxic", "row"])
+        first = lambda toxic, n: each.where(F.col("toxic") == toxic).select("toxic", "row").orderBy(F.xxhash64("row"), "row").limit(n)
+        some = X.table(first(1, TOXIC_DOCS).unionAll(first(0, OTHER_DOCS)), "drawn")
+        sample = X.table(each.join(F.broadcast(some), ["toxic", "row"], "left_semi"), "sample")
     n = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     p, u = float(n.p or 0), float(n.n - (n.p or 0))
     if not p or not u:

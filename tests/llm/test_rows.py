@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from allelia.llm import decontaminate, near_dedup, packing, secret_scan, substring_dedup, tokens, warc
+from allelia.llm import decontaminate, near_dedup, packing, secret_scan, substring_dedup, tokens, toxicity, warc
 from allelia.llm import text as X
 
 KIND = "doc_id long, text string, lang string"
@@ -139,3 +139,32 @@ def test_archives_of_repeated_ids(spark):
     assert got == Counter(
         [(1, 3, "response", None)] * 3 + [(2, 3, "revisit", 1), (2, 12, "response", None), (3, 12, "revisit", 2), (3, 0, "response", None), (None, 3, "revisit", 1)]
     )
+
+
+def test_key_columns_of_documents_stay(spark):
+    """Columns named as the stages' own ones keep their values."""
+    names = ["__row", "row_key", "ROW_KEY_", "row", "id", "runs", "letter", "digest", "first", "keys", "toxic"]
+    rows = [(d, t, *[f"{n}{k}" for n in names]) for k, (d, t) in enumerate([*ROWS, (20, A.replace("x3 ", "other "))])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = near_dedup.without_near_duplicates(frame).collect()
+    assert set(map(tuple, kept)) < set(rows) and Counter((r.doc_id, r.text) for r in kept) == texts(near_dedup.without_near_duplicates(frame.select("doc_id", "text")))
+    items = spark.createDataFrame([(1, B)], "item_id long, text string")
+    clean = decontaminate.without_leaks(frame, items).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(str(r) for r in rows if r[1] != B)
+    for out in (secret_scan.redact(frame, None), toxicity.without_toxic(frame, toxicity.fit(np.zeros(0, np.uint64), [], [], 0.1))):
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, rows))
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    """Thousands of rows under one id bring no more rows to the driver than the sample may have."""
+    monkeypatch.setattr(toxicity, "TOXIC_DOCS", 40)
+    monkeypatch.setattr(toxicity, "OTHER_DOCS", 60)
+    rows = [(1, f"vile scum {k}") for k in range(3000)] + [(d, f"nice day {d}") for d in range(2, 300)] + [(d, f"vile scum of {d}") for d in range(300, 330)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d == 1 or d >= 300)) for d in range(1, 330)], "doc_id long, toxic int")
+    held = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda names, toxic, other, prior: held.append((len(toxic), len(other))) or fit(names, toxic, other, prior))
+    model = toxicity.train(frame, labels)
+    assert held == [(40, 60)]
+    assert all(0 <= r.score <= 1 for r in toxicity.score(frame, model).collect())
