@@ -36,11 +36,18 @@ def test_query(spark, sf_dir, duck, name):
         return
     told = duck.sql(association.ORACLES[name])
     assert sorted(told.columns) == columns
-    assert rows, "an empty result tests nothing"
     at = [told.columns.index(c) for c in columns]
     assert rows == sorted(tuple(text(r[i]) for i in at) for r in told.fetchall())
 
 
+def test_oracles_have_rows():
+    """An empty result tests nothing: at the scale of the correctness gate every query's SQL has rows."""
+    con = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.01/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    assert [n for n in NAMES if n in association.ORACLES and not con.sql(f"SELECT COUNT(*) FROM ({association.ORACLES[n]})").fetchall()[0][0]] == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
