@@ -73,10 +73,18 @@ def logistic_score(calls: DataFrame, samples: DataFrame, y: str, covariates: lis
     return out.withColumns({"pvalue": F.expr(chi2_1_sf_sql("stat")), "log10p": F.expr(log10_chi2_1_sf_sql("stat"))})
 
 
-def cells(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], group: str = "variant_id") -> DataFrame:
+def cells(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], group: str = "variant_id", patterns: int = 1000) -> DataFrame:
     """(group, cells): counts of samples by genotype, discrete covariates and trait for each group, hom-ref by
-    complement. A handful of cells holds all that a regression needs, whatever the number of samples."""
+    complement. A handful of cells holds all that a regression needs, whatever the number of samples.
+
+    Samples without trait or covariate take no part. More patterns of covariates and trait than `patterns`, or genotypes other
+    than 0, 1 and 2, are an error: newton.regress takes those."""
+    samples = samples.dropna(subset=[y, *covariates])
     totals = samples.groupBy(*covariates, y).agg(F.count("*").alias("n"))
+    if totals.limit(patterns + 1).count() > patterns:
+        raise ValueError(f"over {patterns} patterns of covariates and trait; newton.regress takes continuous covariates")
+    hard = F.col("g").isNull() | F.col("g").isin(0, 1, 2)
+    calls = calls.withColumn("g", F.when(hard, F.col("g")).otherwise(F.raise_error(F.lit("a dosage among genotypes; newton.regress takes dosages"))))
     own = calls.join(samples.select("sample_id", y, *covariates), "sample_id").groupBy(group, *covariates, y).agg(
         F.sum(F.when(F.col("g") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("g") == 2, 1).otherwise(0)).alias("n2"), F.sum(F.when(F.col("g").isNull(), 1).otherwise(0)).alias("gone")
     )
@@ -108,7 +116,7 @@ def fit_cells(x: np.ndarray, y: np.ndarray, n: np.ndarray, firth: bool, rounds:
     return None
 
 
-def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], firth: bool = False, group: str = "variant_id") -> DataFrame:
+def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], firth: bool = False, group: str = "variant_id", patterns: int = 1000) -> DataFrame:
     """(group, beta, se, pvalue): Wald test of the genotype in a logistic regression with discrete covariates; nulls
     where the fit doesn't converge, as under separation without firth."""
 
@@ -132,5 +140,5 @@ def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str],
                     out.append((key, float(fit[0][1]), se, chi2_1_sf((fit[0][1] / se) ** 2)))
             yield pd.DataFrame(out, columns=[group, "beta", "se", "pvalue"])
 
-    table = cells(calls, samples, y, covariates, group)
+    table = cells(calls, samples, y, covariates, group, patterns)
     return table.mapInPandas(run, f"{group} {dict(table.dtypes)[group]}, beta double, se double, pvalue double".replace(f"{group} ", f"`{group}` ", 1))

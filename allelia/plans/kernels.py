@@ -10,8 +10,10 @@ from ..operators import association as A
 from ..operators import kinship as K
 from ..operators import logistic as B
 from ..operators import mixed as M
+from ..operators import newton as N
 from ..operators import setbased as T
 from ..operators import summary as S
+from .adjusted import dosages
 from .queries import members, query
 
 
@@ -44,6 +46,22 @@ def firth_binary(spark, sf_dir):
     return B.regress(V.calls(spark, sf_dir), binary(spark, sf_dir), "case", ["sex"], firth=True)
 
 
+def balanced(spark, sf_dir) -> DataFrame:
+    """binary() with a covariate b that differs from sample to sample."""
+    return binary(spark, sf_dir).withColumn("b", F.col("y").cast("double") / 700.0)
+
+
+def _newton(name, firth=False):
+    calls = lambda spark, sf_dir: dosages(spark, sf_dir) if name is None else A.collapse(V.calls(spark, sf_dir), members(spark, sf_dir), name)
+    return lambda spark, sf_dir: N.regress(calls(spark, sf_dir), balanced(spark, sf_dir), "case", ["c1", "b"], firth, "variant_id" if name is None else "group")
+
+
+query("wald_binary_dosage")(_newton(None))
+query("firth_binary_dosage")(_newton(None, firth=True))
+query("cmc_wald_binary")(_newton("cmc"))
+query("zeggini_wald_binary")(_newton("zeggini"))
+
+
 @query("kernel_tests")
 def kernel_tests(spark, sf_dir):
     return T.kernel_tests(V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir), groups(spark, sf_dir))
