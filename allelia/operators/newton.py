@@ -19,6 +19,8 @@ from .shared import passing, table
 BLOCK, LANE = 16_384, 1024
 #: Variants whose probabilities are held at once, for all patterns of a block.
 AT_ONCE = 64
+#: A genotype whose information falls by this factor runs off: its carriers' fitted probabilities are 0 or 1 to six digits.
+GONE = 1e-6
 
 
 def _terms(coordinates, firth: bool) -> list[tuple[int, ...]]:
@@ -68,15 +70,15 @@ def _zeros(group: str, kind: str, n_z: int, firth: bool):
     return run, ", ".join([f"`{group}` {kind}", *[f"{_name(t)} double" for t in terms]])
 
 
-def _carried(rows: DataFrame, k: int, firth: bool) -> list:
-    """What carriers' own genotypes change in each sum against a genotype of 0, as columns to be summed."""
+def _carried(k: int, firth: bool) -> tuple[dict, list]:
+    """Probabilities of carriers with and without their genotype, and from these what it changes in each sum."""
     b = [F.col("b")[i] for i in range(k)]
     z = [F.col(f"z{i}_") for i in range(2, k)]
     eta = b[0]
     for beta, c in zip(b[2:], z):
         eta = eta + beta * c
     inverse = lambda e: 1.0 / (1.0 + F.exp(-e))
-    rows = rows.withColumns({"p0": inverse(eta), "p1": inverse(eta + b[1] * F.col("g"))})
+    probabilities = {"p0": inverse(eta), "p1": inverse(eta + b[1] * F.col("g"))}
     out = []
     for term in _terms(range(k), firth):
         z_part, g_times = F.lit(1.0), term.count(1)
@@ -91,7 +93,7 @@ def _carried(rows: DataFrame, k: int, firth: bool) -> list:
         for _ in range(g_times):
             g_part = g_part * F.col("g")
         out.append((z_part * (g_part * part[0] - (part[1] if not g_times else F.lit(0.0)))).alias(_name(term)))
-    return rows, out
+    return probabilities, out
 
 
 def _steps(group: str, k: int, firth: bool):
@@ -127,8 +129,11 @@ def _steps(group: str, k: int, firth: bool):
             step = np.einsum("nij,nj->ni", inverse, np.where(good[:, None], u, 0.0))
             most = np.abs(step * root).max(1) / np.maximum(root.max(1), 1e-300)
             step *= np.minimum(1.0, 5 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
+            first = frame["first"].to_numpy(float)
+            first = np.where(np.isnan(first), info[:, 1, 1], first)
+            good &= info[:, 1, 1] > GONE * first
             fitted = good & (most < (1e-8 if firth else 1e-6))  # a plain step squares the error, a penalised one shrinks it by a factor
-            yield pd.DataFrame({group: frame[group].to_numpy(), "b": list(b + step), "variance": np.where(good, inverse[:, 1, 1], np.nan), "fitted": fitted, "open": good & ~fitted})
+            yield pd.DataFrame({group: frame[group].to_numpy(), "b": list(b + step), "first": first, "variance": np.where(good, inverse[:, 1, 1], np.nan), "fitted": fitted, "open": good & ~fitted})
 
     return run
 
@@ -143,7 +148,8 @@ def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str],
     groups in one task. Groups that are fitted or can't be leave before the next round, whose tables replace this round's.
 
     Samples that lack the trait or a covariate take no part. beta and the rest are null where there is no finite estimate: the
-    genotype doesn't vary or is a combination of the covariates, carriers are all cases or all controls (without firth), y has one value
+    genotype doesn't vary or is a combination of the covariates, carriers are all cases or all controls (without firth) or are told apart by
+    the covariates, y has one value
     only, or `rounds` rounds don't end. Covariates without variance take no part. No calls give no rows."""
     spark, kind = calls.sparkSession, dict(calls.dtypes)[group]
     people = samples.select("sample_id", F.col(y).cast("double").alias("y_"), *[F.col(c).cast("double").alias(f"in{i}_") for i, c in enumerate(covariates)]).dropna()
@@ -170,15 +176,18 @@ def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str],
         still = F.col("n_").isNull() | ((F.col("n_") == n) & (F.col("lo_") == F.col("hi_")))
         begin = F.array(*[F.lit(float(v)) for v in (start[0], 0.0, *start[1:])])
         state = calls.select(group).distinct().join(about, group, "left").select(
-            group, begin.alias("b"), F.lit(None).cast("double").alias("variance"), F.lit(False).alias("fitted"), (~still if firth else ~still & ~one_sided).alias("open")
+            group, begin.alias("b"), F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("variance"), F.lit(False).alias("fitted"), (~still if firth else ~still & ~one_sided).alias("open")
         )
-        schema = f"`{group}` {kind}, b array<double>, variance double, fitted boolean, open boolean"
+        schema = f"`{group}` {kind}, b array<double>, first double, variance double, fitted boolean, open boolean"
         kernel, zero_schema = _zeros(group, kind, len(z), firth)
-        everything = [_name(t) for t in _terms(range(k), firth)]
+        probabilities, parts = _carried(k, firth)  # columns are built once for all rounds
+        terms = _terms(range(k), firth)
+        padded = [F.lit(0.0).alias(_name(t)) if 1 in t else F.col(_name(t)) for t in terms]
+        totals = [F.sum(_name(t)).alias(_name(t)) for t in terms]
         state = make(state, "round0")
         done = state.where("NOT open")
         for r in range(1, rounds + 1):
-            waiting = state.where("open").select(group, "b")
+            waiting = state.where("open").select(group, "b", "first")
             n_open = waiting.count()
             if not n_open:
                 break
@@ -187,9 +196,9 @@ def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str],
             left = waiting.select(group, "b", lane, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
             right = blocks.select("block", "m", "s", "z", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
             zeros = left.groupBy("lane", "block").cogroup(right.groupBy("lane", "block")).applyInPandas(kernel, zero_schema)
-            zeros = zeros.select(group, *[F.col(c) if c in zeros.columns else F.lit(0.0).alias(c) for c in everything])
-            rows, parts = _carried(carriers.join(waiting, group), k, firth)
-            sums = zeros.unionByName(rows.select(group, *parts)).groupBy(group).agg(*[F.sum(c).alias(c) for c in everything])
+            zeros = zeros.select(group, *padded)
+            changes = carriers.join(waiting, group).withColumns(probabilities).select(group, *parts)
+            sums = zeros.unionByName(changes).groupBy(group).agg(*totals)
             state = make(waiting.join(sums, group).mapInPandas(_steps(group, k, firth), schema), f"round{r}")
             done = done.unionByName(state.where("NOT open"))
         else:

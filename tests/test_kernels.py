@@ -253,3 +253,32 @@ def test_six_sigma_rule(spark):
         p = (r.n_greater + r.n_equal + 1) / (r.actual_perm + 1)
         assert r.perm_pvalue == pytest.approx(p) and r.actual_perm % 500 == 0
         assert (p - 6 * math.sqrt(p * (1 - p) / r.actual_perm) > 0.05) or r.actual_perm == 3000
+
+
+def _band(t: float, r: float) -> float:
+    """P(max of two |Z| with correlation r >= t) by quadrature over the first one, without cancellation."""
+    x, w = np.polynomial.legendre.leggauss(400)
+    q = lambda v: math.erfc(v / math.sqrt(2)) / 2
+    s = math.sqrt(1 - r * r)
+    z = t * x  # the first within the band, the second beyond it
+    inner = np.array([(q((t - r * a) / s) + q((t + r * a) / s)) * math.exp(-a * a / 2) / math.sqrt(2 * math.pi) for a in z])
+    return 2 * q(t) + float(t * (w * inner).sum())
+
+
+@pytest.mark.parametrize("t", [0.3, 1.0, 2.5, 4.0, 5.5, 7.2, 12.0])
+def test_normal_maximum(t):
+    """Tails down to 1e-30 against quadrature for two components and the closed form for independent and equal ones."""
+    for r in (-0.9, 0.0, 0.3, 0.8, 0.99):
+        p, error = T.max_tail(t, np.array([[1.0, r], [r, 1.0]]))
+        assert p == pytest.approx(_band(t, r), rel=0.01) and error < 0.003
+    one = math.erfc(t / math.sqrt(2))
+    p, _ = T.max_tail(t, np.eye(20))
+    assert p == pytest.approx(-math.expm1(20 * math.log1p(-one)), rel=0.01)
+    p, _ = T.max_tail(t, np.ones((15, 15)))  # equal components: a singular matrix
+    assert p == pytest.approx(one, rel=0.01)
+    lag = 0.9 ** np.abs(np.subtract.outer(np.arange(12), np.arange(12)))
+    p, _ = T.max_tail(t, lag)
+    assert one < p < 12 * one
+    if t <= 2.5:
+        x = np.random.default_rng(2).standard_normal((400_000, 12)) @ np.linalg.cholesky(lag).T
+        assert p == pytest.approx((np.abs(x).max(1) >= t).mean(), rel=0.02)
