@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import text as X
 
 #: Vectors of a shard at most; out-degree; beam of searches while building and when queried; relaxation of the pruning rule.
-SHARD, DEGREE, BEAM, QUERY_BEAM, ALPHA = 32_768, 28, 56, 160, 1.2
+SHARD, DEGREE, BEAM, QUERY_BEAM, ALPHA = 32_768, 28, 56, 144, 1.2
 #: Out-edges that a node may gather before it is pruned again; nodes expanded at once; queries of a block.
 SLACK, WIDE, BLOCK = 32, 2, 256
 #: Blocks that one task takes to a graph; rows (graphs, blocks) of an Arrow batch.

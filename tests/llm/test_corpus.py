@@ -331,13 +331,13 @@ def test_neighbours_edges(spark):
 
 
 def test_graph_visits_few(spark):
-    """On a large shard a search with half the query's beam meets under a tenth of the nodes, with a recall of 0.9 or more."""
+    """On a large shard a search with the registered beam meets under a tenth of the nodes, with a recall of 0.9 or more."""
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(300, 32))
     points = neighbours._unit(centres[rng.integers(0, 300, 16_000)] + 0.7 * rng.normal(size=(16_000, 32)))
     edges, entry = neighbours.build(points)
     queries = points[::80]
-    ids, _, seen = neighbours.beam_search(points, edges, entry, queries, neighbours.QUERY_BEAM // 2)
+    ids, _, seen = neighbours.beam_search(points, edges, entry, queries, neighbours.QUERY_BEAM)
     want = np.argsort(-(queries @ points.T), axis=1)[:, :6]
     assert np.mean([len(set(a[:6]) & set(b)) / 6 for a, b in zip(ids, want)]) >= 0.9
     assert seen.mean() < len(points) / 10
