@@ -89,6 +89,46 @@ def test_statistics_of_blocks():
         assert T.STATISTICS[name](var, who, g, m, n)(y) == pytest.approx(np.array([one(yy) for yy in y]), abs=1e-9), name
 
 
+def test_statistics_of_carriers_alone():
+    """The carriers' columns with the whole trait's sums give what all samples' columns give."""
+    rng = np.random.default_rng(18)
+    n, m = 300, 9
+    cells = sorted({(int(v), int(k)) for v, k in zip(np.append(np.arange(m), rng.integers(0, m, 60)), rng.integers(0, 90, 69))})
+    var, who = np.array(cells).T
+    g = rng.integers(1, 3, len(cells)).astype(float)
+    y = np.stack([rng.permutation(np.arange(n) % 3 == 0) for _ in range(20)]).astype(float)
+    carriers, at = np.unique(who, return_inverse=True)
+    whole = T.Whole(n, float(y[0].sum()), float((y[0] ** 2).sum()))
+    for name, make in T.STATISTICS.items():
+        assert make(var, at, g, m, n, whole)(y[:, carriers]) == pytest.approx(make(var, who, g, m, n)(y)), name
+
+
+@pytest.mark.parametrize("name", sorted(T.WEIGHTED))
+def test_weighted_sums_are_drawn_like_replicates(name):
+    rng = np.random.default_rng(21)
+    n, case, m = 200, 50, 6
+    cells = sorted({(int(v), int(k)) for v, k in zip(np.append(np.arange(m), rng.integers(0, m, 90)), rng.integers(0, 60, 96))})
+    var, at = np.array(cells).T
+    at = np.unique(at, return_inverse=True)[1]
+    g = rng.integers(1, 3, len(cells)).astype(float)
+    whole, weights = T.Whole(n, case, case), T.WEIGHTED[name][0](at, g)
+    y = T._replicates(rng, 20_000, len(weights), n, 0.0, 1.0, case, None)
+    want = T.STATISTICS[name](var, at, g, m, n, whole)(y)
+    assert T.WEIGHTED[name][1](y @ weights, weights.sum(), m, n, whole) == pytest.approx(want)
+    got = T.WEIGHTED[name][1](T._weighted(rng, 20_000, weights, n, 0.0, 1.0, case), weights.sum(), m, n, whole)
+    for q in (0.2, 0.5, 0.8, 0.95):
+        assert (got > np.quantile(want, q)).mean() == pytest.approx((want > np.quantile(want, q)).mean(), abs=0.02)
+
+
+def test_replicates_cost_the_carriers():
+    """A replicate of few carriers among very many samples has the permutation's mean and variance, without a draw of all samples."""
+    n, case, k = 900_000_000, 180_000_000, 40
+    y = T._replicates(np.random.default_rng(3), 20_000, k, n, 0.0, 1.0, case, None)
+    total = y.sum(1)
+    assert y.shape == (20_000, k) and total.mean() == pytest.approx(8, abs=0.1) and total.var() == pytest.approx(6.4, rel=0.05)
+    assert np.abs(y.mean(0) - 0.2).max() < 0.02
+
+
 @pytest.mark.parametrize("rows", [1_000, 3])
 def test_every_pair_with_missing_calls(spark, monkeypatch, rows):
     monkeypatch.setattr(K, "BLOCK_ROWS", rows)
