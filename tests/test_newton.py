@@ -73,3 +73,23 @@ def test_cells_refuse_dosages(cohort):
         B.regress(calls, samples, "case", ["same"]).collect()
     with pytest.raises(ValueError, match="patterns"):
         B.regress(calls.where("g in (1, 2)"), samples, "case", ["c1"], patterns=100)
+
+
+@pytest.mark.parametrize("firth,most", [(False, 1024), (True, 1024), (True, 0)])
+def test_rare_variants_meet_no_patterns(spark, monkeypatch, firth, most):
+    """Near the null model a step costs a group its carriers: no block of covariate patterns is made, by rows or by rounds."""
+    rng = np.random.default_rng(52)
+    n = 3000
+    c = rng.normal(0, 1, (n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(0.5 - 0.4 * c[:, 0]))).astype(int)
+    g = np.where(rng.random((n, 4)) < 0.004, 0.8, 0.0)
+    calls = spark.createDataFrame([(v, i, float(g[i, v])) for i in range(n) for v in range(4) if g[i, v]], "variant_id long, sample_id long, g double")
+    samples = spark.createDataFrame([(i, int(y[i]), float(c[i, 0]), float(c[i, 1])) for i in range(n)], "sample_id long, case int, c1 double, c2 double")
+    monkeypatch.setattr(N, "MOST_CARRIERS", most)
+    monkeypatch.setattr(N, "_blocks", lambda *_: pytest.fail("all patterns met a variant of few carriers"))
+    for r in N.regress(calls, samples, "case", ["c1", "c2"], firth=firth).collect():
+        if not firth and len(set(y[g[:, r.variant_id] > 0])) == 1:
+            assert r.beta is None  # carriers have one value of the trait
+            continue
+        beta, se = fit(np.column_stack([np.ones(n), g[:, r.variant_id], (c - c.mean(0)) / c.std(0)]), y, firth)
+        assert r.beta == pytest.approx(beta, rel=1e-5, abs=1e-7) and r.se == pytest.approx(se, rel=1e-5)
