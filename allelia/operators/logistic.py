@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.special import chi2_1_sf, chi2_1_sf_sql, log10_chi2_1_sf_sql
 
@@ -73,72 +74,85 @@ def logistic_score(calls: DataFrame, samples: DataFrame, y: str, covariates: lis
     return out.withColumns({"pvalue": F.expr(chi2_1_sf_sql("stat")), "log10p": F.expr(log10_chi2_1_sf_sql("stat"))})
 
 
-def cells(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], group: str = "variant_id", patterns: int = 1000) -> DataFrame:
-    """(group, cells): counts of samples by genotype, discrete covariates and trait for each group, hom-ref by
-    complement. A handful of cells holds all that a regression needs, whatever the number of samples.
+#: Cells that a task holds at once.
+CELLS = 500_000
+
+
+def cells(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], group: str = "variant_id", patterns: int = 1000) -> tuple[DataFrame, np.ndarray]:
+    """(group, cells) and the patterns of trait, number of samples and covariates, a row each: cells(k, n1, n2, gone) are a group's
+    samples of pattern k with one allele, with two and with a missing call; hom-ref follows by complement. A handful of cells holds
+    all that a regression needs, whatever the number of samples.
 
     Samples without trait or covariate take no part. More patterns of covariates and trait than `patterns`, or genotypes other
     than 0, 1 and 2, are an error: newton.regress takes those."""
     samples = samples.dropna(subset=[y, *covariates])
     totals = samples.groupBy(*covariates, y).agg(F.count("*").alias("n"))
-    if totals.limit(patterns + 1).count() > patterns:
+    found = totals.limit(patterns + 1).collect()
+    if len(found) > patterns:
         raise ValueError(f"over {patterns} patterns of covariates and trait; newton.regress takes continuous covariates")
+    numbered = samples.sparkSession.createDataFrame([(*r[:-1], k) for k, r in enumerate(found)], totals.drop("n").schema.add("k_", IntegerType()))
     hard = F.col("g").isNull() | F.col("g").isin(0, 1, 2)
     calls = calls.withColumn("g", F.when(hard, F.col("g")).otherwise(F.raise_error(F.lit("a dosage among genotypes; newton.regress takes dosages"))))
-    own = calls.join(samples.select("sample_id", y, *covariates), "sample_id").groupBy(group, *covariates, y).agg(
-        F.sum(F.when(F.col("g") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("g") == 2, 1).otherwise(0)).alias("n2"), F.sum(F.when(F.col("g").isNull(), 1).otherwise(0)).alias("gone")
-    )
-    grid = own.select(group).distinct().join(F.broadcast(totals))  # a row per covariate pattern and trait
-    full = grid.join(own, [group, *covariates, y], "left").fillna(0, ["n1", "n2", "gone"])
-    cell = F.struct(F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in covariates]).alias("z"), (F.col("n") - F.col("n1") - F.col("n2") - F.col("gone")).cast("double").alias("n0"), F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"))
-    return full.groupBy(group).agg(F.collect_list(cell).alias("cells"))
-
-
-def fit_cells(x: np.ndarray, y: np.ndarray, n: np.ndarray, firth: bool, rounds: int = 100) -> tuple[np.ndarray, np.ndarray] | None:
-    """(beta, covariance) of a logistic regression over weighted cells; with firth, the penalised likelihood's."""
-    beta = np.zeros(x.shape[1])
+    people = samples.select("sample_id", y, *covariates).join(F.broadcast(numbered), [*covariates, y]).select("sample_id", "k_")
+    count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    own = calls.select(group, "sample_id", "g").join(people, "sample_id").groupBy(group, "k_").agg(count(F.col("g") == 1).alias("n1"), count(F.col("g") == 2).alias("n2"), count(F.col("g").isNull()).alias("gone"))
+    table = own.groupBy(group).agg(F.collect_list(F.struct(F.col("k_").alias("k"), "n1", "n2", "gone")).alias("cells"))
+    return table, np.array([[r[y], r["n"], *[r[c] for c in covariates]] for r in found], float).reshape(len(found), 2 + len(covariates))
+
+
+def fit_cells(x: np.ndarray, y: np.ndarray, n: np.ndarray, firth: bool, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(beta, covariance, fitted) of logistic regressions over the same cells x(cell, k), y(cell) with weights n(regression, cell), all at
+    once; with firth, the penalised likelihood's."""
+    k = x.shape[1]
+    beta, covariance, fitted = np.zeros((len(n), k)), np.zeros((len(n), k, k)), np.zeros(len(n), bool)
+    squares, rows = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1), np.arange(len(n))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = n * p * (1 - p)
-        h = x.T @ (w[:, None] * x)
-        if not np.isfinite(h).all() or np.linalg.cond(h) > 1e13:
-            return None
+        p = 1 / (1 + np.exp(-np.clip(beta[rows] @ x.T, -30, 30)))
+        h = ((n * p * (1 - p)) @ squares).reshape(-1, k, k)
+        good = np.isfinite(h).all((1, 2))
+        good[good] = ~(np.linalg.cond(h[good]) > 1e13)
+        rows, n, p, h = rows[good], n[good], p[good], h[good]
+        if not len(rows):
+            break
         inverse = np.linalg.inv(h)
-        score = x.T @ (n * (y - p))
+        score = (n * (y - p)) @ x
         if firth:
-            leverage = p * (1 - p) * np.einsum("ij,jk,ik->i", x, inverse, x)
-            score = score + x.T @ (n * leverage * (0.5 - p))
-        step = inverse @ score
-        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-300))
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
-            return beta, inverse
-    return None
+            leverage = p * (1 - p) * (inverse.reshape(-1, k * k) @ squares.T)
+            score = score + (n * leverage * (0.5 - p)) @ x
+        step = np.einsum("nij,nj->ni", inverse, score)
+        step *= np.minimum(1.0, 5 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
+        beta[rows] += step
+        done = np.abs(step).max(1) < 1e-9
+        fitted[rows[done]], covariance[rows[done]] = True, inverse[done]
+        rows, n = rows[~done], n[~done]
+    return beta, covariance, fitted
 
 
 def regress(calls: DataFrame, samples: DataFrame, y: str, covariates: list[str], firth: bool = False, group: str = "variant_id", patterns: int = 1000) -> DataFrame:
     """(group, beta, se, pvalue): Wald test of the genotype in a logistic regression with discrete covariates; nulls
     where the fit doesn't converge, as under separation without firth."""
+    table, known = cells(calls, samples, y, covariates, group, patterns)
+    size = len(known)
+    # cells by genotype, then pattern
+    x = np.column_stack([np.ones(3 * size), np.repeat([0.0, 1.0, 2.0], size), np.tile(known[:, 2:], (3, 1))])
+    trait = np.tile(known[:, 0], 3)
 
     def run(batches):
-        for frame in batches:
-            out = []
-            for key, own in zip(frame[group], frame["cells"]):
-                x, yy, n = [], [], []
-                for c in own:
-                    for g, k in ((0.0, "n0"), (1.0, "n1"), (2.0, "n2")):
-                        if c[k] > 0:
-                            x.append([1.0, g, *c["z"]])
-                            yy.append(c["y"])
-                            n.append(c[k])
-                x = np.array(x)
-                fit = fit_cells(x, np.array(yy), np.array(n), firth) if len(x) and np.ptp(x[:, 1]) > 0 else None
-                if fit is None or fit[1][1, 1] <= 0:
-                    out.append((key, None, None, None))
-                else:
-                    se = float(np.sqrt(fit[1][1, 1]))
-                    out.append((key, float(fit[0][1]), se, chi2_1_sf((fit[0][1] / se) ** 2)))
-            yield pd.DataFrame(out, columns=[group, "beta", "se", "pvalue"])
-
-    table = cells(calls, samples, y, covariates, group, patterns)
-    return table.mapInPandas(run, f"{group} {dict(table.dtypes)[group]}, beta double, se double, pvalue double".replace(f"{group} ", f"`{group}` ", 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, CELLS // max(1, 3 * size))):
+                batch = whole.slice(at, max(1, CELLS // max(1, 3 * size)))
+                lists = batch.column("cells")
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                k, n1, n2, gone = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+                n = np.zeros((batch.num_rows, 3, size))
+                n[:, 0] = known[:, 1]
+                n[row, 0, k] -= n1 + n2 + gone
+                n[row, 1, k], n[row, 2, k] = n1, n2
+                varies = (n > 0).any(2).sum(1) > 1
+                beta, covariance, good = fit_cells(x, trait, np.where(varies[:, None], n.reshape(len(n), -1), 0.0), firth)
+                good &= varies & (covariance[:, 1, 1] > 0)
+                se = np.sqrt(np.where(good, covariance[:, 1, 1], 1.0))
+                tail = [chi2_1_sf(t) for t in (beta[:, 1] / se) ** 2]
+                yield pa.RecordBatch.from_arrays([batch.column(group), *[pa.array(c, mask=~good) for c in (beta[:, 1], se, np.array(tail, float))]], names=[group, "beta", "se", "pvalue"])
+
+    return table.mapInArrow(run, f"`{group}` {dict(table.dtypes)[group]}, beta double, se double, pvalue double")

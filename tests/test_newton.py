@@ -93,3 +93,18 @@ def test_rare_variants_meet_no_patterns(spark, monkeypatch, firth, most):
             continue
         beta, se = fit(np.column_stack([np.ones(n), g[:, r.variant_id], (c - c.mean(0)) / c.std(0)]), y, firth)
         assert r.beta == pytest.approx(beta, rel=1e-5, abs=1e-7) and r.se == pytest.approx(se, rel=1e-5)
+
+
+@pytest.mark.parametrize("firth", [False, True])
+def test_cells_are_fitted_together(firth):
+    """One call fits all variants' cells; each as if alone, and one without variance isn't fitted."""
+    rng = np.random.default_rng(53)
+    x = np.array([[1.0, g, c] for g in range(3) for c in (1.0, 2.0) for _ in range(2)])
+    y, n = np.tile([0.0, 1.0], 6), rng.integers(2, 40, (5, 12)).astype(float)
+    n[4, 4:] = 0
+    beta, covariance, fitted = B.fit_cells(x, y, n, firth)
+    assert fitted.tolist() == [True] * 4 + [False]
+    for v in range(4):
+        rows = np.repeat(np.arange(12), n[v].astype(int))
+        b, se = fit(x[rows], y[rows], firth)
+        assert beta[v, 1] == pytest.approx(b, rel=1e-6) and math.sqrt(covariance[v, 1, 1]) == pytest.approx(se, rel=1e-6)
