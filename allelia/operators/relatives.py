@@ -55,17 +55,41 @@ def members(kinship: DataFrame, samples: DataFrame, threshold: float = 0.0) -> D
         return shared.table(out.select("sample_id", "block", "k", "m"), "members")
 
 
+def _by_size(sizes: np.ndarray, cells: np.ndarray):
+    """The places of blocks of equal size, at most CELLS of cells (a block's numbers) together or one block."""
+    for m in np.unique(sizes):
+        places = np.flatnonzero(sizes == m)
+        ends = np.cumsum(cells[places])
+        at = 0
+        while at < len(places):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, "right")))
+            yield int(m), places[at:to]
+            at = to
+
+
+def _lists(column: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists at places, and their values one list after another."""
+    some = column.take(pa.array(places))
+    return some.value_lengths().to_numpy(zero_copy_only=False), some.flatten()
+
+
+def _rows(values: np.ndarray) -> pa.ListArray:
+    """A list a row of values (rows, numbers)."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
 def _eigen(batches):
     for batch in batches:
-        pairs = batch.column("pairs")
-        for r in range(batch.num_rows):
-            m = batch.column("m")[r].as_py()
-            x = np.eye(m)
-            i, j, v = (pairs[r].values.field(c).to_numpy(zero_copy_only=False) for c in range(3))
-            x[i, j] = v
-            x[j, i] = v
+        sizes = batch.column("m").to_numpy(zero_copy_only=False).astype(np.int64)
+        for m, places in _by_size(sizes, sizes**2):
+            count, pairs = _lists(batch.column("pairs"), places)
+            i, j, v = (f.to_numpy(zero_copy_only=False) for f in pairs.flatten())
+            at = np.repeat(np.arange(len(places)), count)
+            x = np.tile(np.eye(m), (len(places), 1, 1))
+            x[at, i, j] = v
+            x[at, j, i] = v
             lam, vec = np.linalg.eigh(x)
-            yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), pa.array([np.abs(lam)], pa.list_(pa.float64())), pa.array([vec.ravel()], pa.list_(pa.float64()))], names=["block", "lam", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("block").take(pa.array(places)), _rows(np.abs(lam)), _rows(vec.reshape(len(places), -1))], names=["block", "lam", "vec"])
 
 
 def decompose(kinship: DataFrame, placed: DataFrame) -> DataFrame:
@@ -81,15 +105,14 @@ def decompose(kinship: DataFrame, placed: DataFrame) -> DataFrame:
 
 def _rotate(batches):
     for batch in batches:
-        out = []
-        for r in range(batch.num_rows):
-            values = batch.column("values")[r].values
-            m = len(values)
-            x = np.array([values.field(1).to_numpy(zero_copy_only=False), *values.field(2).flatten().to_numpy(zero_copy_only=False).reshape(m, -1).T]).T
-            turned = _doubles(batch.column("vec"), r).reshape(m, m).T @ x
-            out.append((turned[:, 0], turned[:, 1:].ravel()))
-        kind = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("block", "lam", "vec")], pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], kind)], names=["block", "lam", "vec", "uy", "ux"])
+        sizes = batch.column("values").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for m, places in _by_size(sizes, sizes**2):
+            values = _lists(batch.column("values"), places)[1].flatten()
+            x = np.column_stack([values[1].to_numpy(zero_copy_only=False), values[2].flatten().to_numpy(zero_copy_only=False).reshape(len(values[1]), -1)]).reshape(len(places), m, -1)
+            vec = _lists(batch.column("vec"), places)[1].to_numpy(zero_copy_only=False).reshape(-1, m, m)
+            turned = vec.transpose(0, 2, 1) @ x
+            same = [batch.column(c).take(pa.array(places)) for c in ("block", "lam", "vec")]
+            yield pa.RecordBatch.from_arrays([*same, _rows(turned[:, :, 0]), _rows(turned[:, :, 1:].reshape(len(places), -1))], names=["block", "lam", "vec", "uy", "ux"])
 
 
 class Null:
@@ -101,6 +124,7 @@ class Null:
 
     def __init__(self, kinship: DataFrame, samples: DataFrame, y: str, covariates: list[str] | None = None, threshold: float = 0.0, delta: float | None = None):
         self.p = 1 + len(covariates or [])
+        kinship = shared.table(kinship.select("i", "j", "kinship"), "kinship")  # read several times
         self.placed = members(kinship, samples, threshold)
         x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in covariates or []])
         rows = samples.select(F.col("sample_id").cast("long").alias("sample_id"), F.col(y).cast("double").alias("y"), x.alias("x")).join(self.placed, "sample_id")
@@ -156,42 +180,64 @@ def sums(calls: DataFrame, null: Null, key: str = "variant_id") -> DataFrame:
     """(key, ac, gq, gvr, gvg, gvx): of each variant or group the sum of g and of g^2, and g' V^-1 times the residual, g and the
     covariates, of sparse complete calls(key, sample_id, g).
 
-    Samples without relatives add terms of their own. Of a block's calls, a task gets those of some of the variants, as many as
-    CELLS allows, as one matrix and turns it by the block's vectors: what it returns is one row a variant and block."""
+    Samples without relatives add terms of their own. A task gets the calls of many small blocks, or of a large one those of some of
+    the variants, CELLS at most on average; it turns blocks of equal size together and sums what a batch of blocks gives of a key."""
     p, delta, beta = null.p, null.delta, null.beta
     rows = calls.where("g > 0").select(key, F.col("sample_id").cast("long").alias("sample_id"), F.col("g").cast("double").alias("g"))
+    rows = shared.table(rows.join(null.placed, "sample_id"), "placed_calls")
     fitted = sum((F.col("x")[a] * float(b) for a, b in enumerate(beta)), F.lit(0.0))
     w = 1 / (F.col("lam") + float(delta))
-    alone = rows.join(null.alone.select("sample_id", w.alias("w"), (w * (F.col("y") - fitted)).alias("wr"), "x"), "sample_id")
+    alone = rows.where("m = 1").join(null.alone.select("sample_id", w.alias("w"), (w * (F.col("y") - fitted)).alias("wr"), "x"), "sample_id")
     g = F.col("g")
     alone = alone.groupBy(key).agg(F.sum("g").alias("ac"), F.sum(g * g).alias("gq"), F.sum(g * F.col("wr")).alias("gvr"), F.sum(g * g * F.col("w")).alias("gvg"), F.array(*[F.sum(g * F.col("w") * F.col("x")[a]) for a in range(p)]).alias("gvx"))
-    placed = null.placed.where("m > 1")
-    largest = placed.agg(F.max("m")).first()[0]
-    if not largest:
+    # of a sample's calls the most, so that a block's cells are known to be no more than that times its samples
+    most = rows.where("m > 1").groupBy("sample_id").count().agg(F.max("count")).first()[0]
+    if not most:
         return alone
-    few = max(1, CELLS // largest)
-    buckets = max(1, math.ceil(calls.select(F.approx_count_distinct(key)).first()[0] * 1.1 / few))
-    related = rows.join(placed.select("sample_id", "block", "k"), "sample_id").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("m") * float(most) / CELLS)).cast("long")
+    related = rows.where("m > 1").withColumn("bucket", F.pmod(F.xxhash64(key), buckets))
     related = related.groupBy("block", "bucket").agg(F.collect_list(F.struct(F.col(key).alias("key"), "k", "g")).alias("cells"))
 
     def turn(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                cells = batch.column("cells")[r].values
-                lam, uy, ux = (_doubles(batch.column(c), r) for c in ("lam", "uy", "ux"))
-                vec, m = _doubles(batch.column("vec"), r).reshape(len(lam), -1), len(lam)
-                names = cells.field(0).dictionary_encode()
-                v, k, g = names.indices.to_numpy(), cells.field(1).to_numpy(), cells.field(2).to_numpy(zero_copy_only=False)
-                x = np.zeros((m, len(names.dictionary)))
-                x[k, v] = g
-                t, w = vec.T @ x, 1 / (lam + delta)
-                ux = ux.reshape(m, p)
-                wt = w[:, None] * t
-                out = [names.dictionary, *[pa.array(c) for c in (x.sum(0), (x * x).sum(0), (uy - ux @ beta) @ wt, (t * wt).sum(0))], pa.array(list((wt.T @ ux)), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(out, names=[key, "ac", "gq", "gvr", "gvg", "gvx"])
+            sizes = batch.column("lam").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            count = batch.column("cells").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            for m, places in _by_size(sizes, np.maximum(count, sizes**2)):
+                n, (names, k, g) = (f := _lists(batch.column("cells"), places))[0], f[1].flatten()
+                lam, vec, uy, ux = (_lists(batch.column(c), places)[1].to_numpy(zero_copy_only=False) for c in ("lam", "vec", "uy", "ux"))
+                vec, ux = vec.reshape(-1, m, m), ux.reshape(-1, m, p)
+                w = 1 / (lam.reshape(-1, m) + delta)
+                # what a turned genotype is multiplied by: the residual and the covariates
+                by = np.concatenate([(uy.reshape(-1, m) - ux @ beta)[:, :, None], ux], 2) * w[:, :, None]
+                names = names.dictionary_encode()
+                wide = len(names.dictionary)
+                column, at = np.unique(np.repeat(np.arange(len(places)), n) * wide + names.indices.to_numpy(), return_inverse=True)
+                k, g = k.to_numpy(), g.to_numpy(zero_copy_only=False)
+                order = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[order], np.arange(len(column)), "right")
+                total = np.zeros((wide, 4 + p))
+                step = max(1, CELLS // m // (m if len(places) > 1 else 1))
+                for low in range(0, len(column), step):
+                    part = column[low : low + step]
+                    some = order[ends[low - 1] if low else 0 : ends[low + len(part) - 1]]
+                    x = np.zeros((len(part), m))
+                    x[at[some] - low, k[some]] = g[some]
+                    block = part // wide
+                    if len(places) > 1:
+                        t = (x[:, None, :] @ vec[block])[:, 0]
+                        sums = np.einsum("cm,cmq->cq", t, by[block])
+                    else:
+                        t = x @ vec[0]
+                        sums = t @ by[0]
+                    found = [x.sum(1), (x * x).sum(1), sums[:, 0], (t * t * w[block]).sum(1), *sums[:, 1:].T]
+                    for c, values in enumerate(found):
+                        total[:, c] += np.bincount(part % wide, values, wide)
+                yield pa.RecordBatch.from_arrays([names.dictionary, *[pa.array(total[:, c]) for c in range(4)], _rows(total[:, 4:])], names=[key, "ac", "gq", "gvr", "gvg", "gvx"])
 
     kind = f"{key} {dict(calls.dtypes)[key]}, ac double, gq double, gvr double, gvg double, gvx array<double>"
-    both = alone.unionAll(related.join(null.blocks, "block").mapInArrow(turn, kind))
+    both = related.join(null.blocks, "block").mapInArrow(turn, kind)
+    if null.alone.limit(1).count():
+        both = alone.unionAll(both)
     return both.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("ac", "gq", "gvr", "gvg")], F.array(*[F.sum(F.col("gvx")[a]) for a in range(p)]).alias("gvx"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,26 @@ def test_unrelated_is_the_plain_score(spark, sf_dir):
     for v, name in enumerate(names):
         assert rows[name].stat == pytest.approx((x[:, v] @ r) ** 2 / (x[:, v] @ x[:, v]) / (r @ r / len(y)), rel=1e-6)
         assert rows[name].effect == pytest.approx(x[:, v] @ r / (x[:, v] @ x[:, v]), rel=1e-6)
+
+
+def test_small_blocks_are_decomposed_together():
+    """A batch of blocks gives a batch a size, not one a block, and each block its own vectors."""
+    rng = np.random.default_rng(5)
+    sizes = [2, 4, 3, 4] * 250
+    blocks = [{(a, b): float(rng.uniform(-0.2, 0.4)) for a in range(m) for b in range(a)} for m in sizes]
+    pairs = [[{"ki": a, "kj": b, "v": v} for (a, b), v in x.items()] for x in blocks]
+    kind = pa.list_(pa.struct([("ki", pa.int32()), ("kj", pa.int32()), ("v", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(sizes, pa.int32()), pa.array(pairs, kind)], names=["block", "m", "pairs"])
+    found = list(relatives._eigen([batch]))
+    assert len(found) == 3
+    seen = {}
+    for rows in found:
+        seen |= {r["block"]: r for r in rows.to_pylist()}
+    assert sorted(seen) == list(range(1000))
+    for block, m in enumerate(sizes):
+        vec = np.reshape(seen[block]["vec"], (m, m))
+        want = np.eye(m)
+        for (a, b), v in blocks[block].items():
+            want[a, b] = want[b, a] = v
+        assert vec.T @ want @ vec == pytest.approx(np.diag(np.linalg.eigvalsh(want)), abs=1e-9)
+        assert np.abs(np.linalg.eigvalsh(want)) == pytest.approx(seen[block]["lam"])
