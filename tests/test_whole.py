@@ -176,3 +176,12 @@ def test_unconverged_solution_is_an_error(spark, sf_dir):
     calls, samples = V.calls(spark, sf_dir, complete=True), V.samples(spark, sf_dir)
     with pytest.raises(ArithmeticError, match="not converged in 1 rounds"):
         M.infinitesimal_solve(calls, samples, "y", 200, 1.0, rounds=1)
+
+
+def test_partitions_grow_with_the_line_items(spark, sf_dir, monkeypatch):
+    names = ("concordance", "concordance_rates", "multi_trait_score")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    want = {n: sorted(map(str, association.QUERIES[n](spark, sf_dir).collect())) for n in names}
+    monkeypatch.setattr(V, "ROWS", rows // 10)
+    assert V.calls(spark, sf_dir).rdd.getNumPartitions() >= 10
+    assert {n: sorted(map(str, association.QUERIES[n](spark, sf_dir).collect())) for n in names} == want
