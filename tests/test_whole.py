@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from allelia import views as V
 from allelia.operators import kinship as K
@@ -185,3 +186,39 @@ def test_partitions_grow_with_the_line_items(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(V, "ROWS", rows // 10)
     assert V.calls(spark, sf_dir).rdd.getNumPartitions() >= 10
     assert {n: sorted(map(str, association.QUERIES[n](spark, sf_dir).collect())) for n in names} == want
+
+
+def shuffled_records(spark) -> int:
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rounds_of_the_solution_shuffle_no_calls(spark):
+    """Calls are shuffled to be packed, not once a round; a call of another sample and a missing trait take no part."""
+    rng = np.random.default_rng(5)
+    n, m = 40, 1500
+    g = np.where(rng.random((n, m)) < 0.5, rng.integers(1, 3, (n, m)), 0)
+    y = rng.normal(size=n)
+    calls = spark.createDataFrame([(v, i, int(g[i, v])) for i in range(n) for v in range(m) if g[i, v]], "variant_id long, sample_id long, g int")
+    samples = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "sample_id long, y double")
+    before = shuffled_records(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = np.array([r.x for r in M.infinitesimal_solve(calls, samples, "y", m, 1.0).orderBy("sample_id").collect()])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled_records(spark) - before < 3 * (g > 0).sum()
+    mu = g.mean(0)
+    z = (g - mu) / np.sqrt(mu * (1 - mu / 2))
+    want = np.linalg.solve(z @ z.T / m + np.eye(n), y - y.mean())
+    assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
+    other = calls.where("sample_id < 30")
+    few = samples.withColumn("y", F.when(F.col("sample_id") != 4, F.col("y"))).where("sample_id <> 7")
+    rows = {r.sample_id: r.x for r in M.infinitesimal_solve(other, few, "y", m, 1.0).collect()}
+    some = [i for i in range(n) if i not in (4, 7)]
+    whole = np.where(np.arange(n)[:, None] < 30, g, 0)
+    mu = whole.sum(0) / (n - 1)
+    z = ((whole - mu) / np.sqrt(mu * (1 - mu / 2)))[some]
+    want = np.linalg.solve(z @ z.T / m + np.eye(len(some)), y[some] - y[some].mean())
+    assert set(rows) == {*some, 4} and rows[4] is None and np.abs(np.array([rows[i] for i in some]) - want).max() < 1e-5 * np.abs(want).max()
