@@ -282,3 +282,42 @@ def test_normal_maximum(t):
     if t <= 2.5:
         x = np.random.default_rng(2).standard_normal((400_000, 12)) @ np.linalg.cholesky(lag).T
         assert p == pytest.approx((np.abs(x).max(1) >= t).mean(), rel=0.02)
+
+
+def test_greedy_unions_by_classes(monkeypatch):
+    """Rarecover by classes, with variants of over FEW carriers and a bound that ends rows early, against the greedy union itself; mb against its formula."""
+
+    def plain(y, sets, n):
+        best, union = -1.0, set()
+        while True:
+            found = []
+            for s in sets:
+                new = union | s
+                size, total = len(new), y[sorted(new)].sum()
+                found.append((total - size * y.mean()) / math.sqrt(size * (1 - size / n) * y.var() * n) if size < n else -1.0)
+            if max(found) <= best + 1e-12:
+                return best
+            best, union = max(found), union | sets[int(np.argmax(found))]
+
+    rng = np.random.default_rng(71)
+    n, m = 150, 18
+    g = np.where(rng.random((m, n)) < rng.choice([0.02, 0.1, 0.3], (m, 1)), rng.integers(1, 3, (m, n)), 0)
+    g[:, :2] = 0
+    g[np.arange(m), 2 + np.arange(m)] = 1
+    var, who = np.nonzero(g)
+    y = np.stack([rng.permutation(np.arange(n) < 45) for _ in range(40)]).astype(np.uint8)
+    sets = [set(np.flatnonzero(r).tolist()) for r in g]
+    want = np.array([plain(r.astype(float), sets, n) for r in y])
+    for few in (127, 8, 0):
+        monkeypatch.setattr(T, "FEW", few)
+        stat = T.STATISTICS["rarecover"](var, who, g[var, who].astype(float), m, n)
+        assert stat(y) == pytest.approx(want) and stat(y.astype(float)) == pytest.approx(want)
+        for limit in (want.min() * 0.9, np.median(want), want.max() * 1.3):
+            assert ((stat(y, limit + 1e-9) > limit + 1e-9) == (want > limit + 1e-9)).all()
+    control = y == 0
+    q = (control @ g.T + 1) / (2 * (n - 45) + 2)
+    score = (1 / np.sqrt(n * q * (1 - q))) @ g
+    p = y[0].mean()
+    v = p * (1 - p) * ((score**2).sum(1) - score.sum(1) ** 2 / n)
+    mb = T.STATISTICS["mb"](var, who, g[var, who].astype(float), m, n)
+    assert mb(y) == pytest.approx((score * (y - p)).sum(1) ** 2 / v) == mb(y.astype(float))
