@@ -321,3 +321,27 @@ def test_greedy_unions_by_classes(monkeypatch):
     v = p * (1 - p) * ((score**2).sum(1) - score.sum(1) ** 2 / n)
     mb = T.STATISTICS["mb"](var, who, g[var, who].astype(float), m, n)
     assert mb(y) == pytest.approx((score * (y - p)).sum(1) ** 2 / v) == mb(y.astype(float))
+
+
+def test_kernels_take_the_samples_calls(spark):
+    """Calls of samples that aren't listed change nothing, a group without pairs has its row, and a carrier of one variant makes no row of pairs."""
+    rng = np.random.default_rng(72)
+    n, m = 80, 9
+    g = np.where(rng.random((n, m)) < 0.12, rng.integers(1, 3, (n, m)), 0)
+    g[:, m - 1] = 0
+    g[3, m - 1] = 2
+    calls = [(v, i, int(g[i, v])) for i in range(n) for v in range(m) if g[i, v]]
+    samples = spark.createDataFrame([(i, float(rng.normal()), float(i % 3), i % 7) for i in range(n)], "sample_id long, y double, c1 double, fid long")
+    members = spark.createDataFrame([("some" if v < m - 1 else "one", v) for v in range(m)], "group string, variant_id long")
+    given = lambda rows: spark.createDataFrame(rows, "variant_id long, sample_id long, g int")
+    more = calls + [(v, n + 1, 2) for v in range(m)]
+    for test in (lambda c: T.kernel_tests(c, samples, members, ["c1"]), lambda c: T.family_kernel_tests(c, samples, members, delta=0.7)):
+        a, b = ({r.group: r for r in test(given(rows)).collect()} for rows in (calls, more))
+        assert a.keys() == b.keys() == {"some", "one"} and a["one"].num_var == 1
+        for k in a:
+            assert tuple(b[k])[1:] == pytest.approx(tuple(a[k])[1:], rel=1e-6)
+    cells, names = T.group_cells(given(calls), members)
+    assert {r.group for r in names.collect()} == {"some", "one"}
+    rows = T.gram(cells, samples).collect()
+    x = g.T @ g
+    assert len(rows) == 1 and {(p.a, p.b): p.sab for p in rows[0].two} == {(a, b): x[a, b] for a in range(m - 1) for b in range(a + 1, m - 1) if x[a, b]}
